@@ -70,11 +70,14 @@ def exposed_limits(df: DataFrame, source: str) -> DataFrame:
     hist = per_value.groupBy("field_name", "source", "m.measure", "m.len").agg(F.count(F.lit(1)).alias("n"))
     near = Window.partitionBy("field_name", "source", "measure").orderBy("len").rangeBetween(-SPIKE_REACH, SPIKE_REACH)
     expected = (F.sum("n").over(near) - F.col("n")) / (2.0 * SPIKE_REACH)
-    return (
+    spikes = (
         hist.withColumn("expected", expected)
         .where((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE_RATIO * F.col("expected")) & (F.col("len") >= 20))
         .select("field_name", "source", "measure", F.col("len").alias("limit_len"), F.col("n").alias("n_values"), "expected")
     )
+    # A limit in one measure shows in others through values that both count alike: the strongest measure stays.
+    best = Window.partitionBy("field_name", "source", "limit_len")
+    return spikes.withColumn("_m", F.max("n_values").over(best)).where(F.col("n_values") >= 0.9 * F.col("_m")).drop("_m")
 
 
 def prompt_of(url: str) -> tuple[str | None, bool, str]:
@@ -150,8 +153,8 @@ def inspect(text: str | None, url: str | None, source: str) -> dict:
     bare = t and re.sub(r"�+$", "", _DOTS.sub("", t.rstrip())) or None
     p = None
     if prompt is not None:
-        damaged = last and bool(_PARTIAL.search(raw) or prompt.endswith("�") and not (t and t.endswith("�") and prompt == t))
         p = re.sub(r"�+$", "", re.sub(r"%[0-9A-Fa-f]?$", "", prompt) if _PARTIAL.search(raw) else prompt)
+        damaged = last and bool(_PARTIAL.search(raw) or prompt.endswith("�") and not (t and t.endswith("�") and p == bare))
         if damaged:
             out["url_cut"] = True
         if last and t and _more(p, bare):
@@ -167,7 +170,7 @@ def inspect(text: str | None, url: str | None, source: str) -> dict:
             if not eq or (k == "utm_source" and source and v.lower() != source and source.startswith(v.lower())):
                 out["url_cut"] = True
     if t:
-        out["text_known"] = p is not None and p.rstrip() == t.rstrip()  # the address carries the same prompt
+        out["text_known"] = p is not None and (prompt.rstrip() == t.rstrip() or p.rstrip() == (bare or "").rstrip())  # the address carries the same prompt
         if t.endswith("�"):
             out["text_cut"] = True
         elif _DOTS.search(t.rstrip()) or t.rstrip()[-1] not in _TERMINAL:
@@ -245,12 +248,15 @@ def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link
     lens = F.map_from_arrays(F.array(*[F.lit(k) for k in m]), F.array(*m.values()))
     at = values.join(limits, ["field_name", "_src"], "left").withColumn("limit", F.coalesce(F.exists("limits", lambda x: lens[x["measure"]] == x["limit_len"]), F.lit(False))).drop("limits", "v")
 
-    asked = at.where("open and not cut").select("_id", "field_name", "lk", "sk", "ctx", "word")
+    asked = at.where("open and not cut").select("_id", "_src", "field_name", "lk", "sk", "ctx", "word")
     keyed = _closed(stats, _closed(stats, asked, "lk", "lit"), "sk", "shp")
     longer = (
         asked.where("word <> ''")
         .join(stats.where("ctx <> ''").select("ctx", F.col("word").alias("other"), (F.col("closed") + F.col("goes_on")).alias("n")), "ctx")
-        .where(F.col("other").startswith(F.col("word")) & (F.length("other") > F.length("word")))
+        .where(
+            F.when(F.col("other") == "<D>", F.col("_src").startswith(F.lower("word")) & (F.length("_src") > F.length("word")))
+            .otherwise(F.col("other").startswith(F.col("word")) & (F.length("other") > F.length("word")))
+        )
         .groupBy("_id", "field_name")
         .agg(F.sum("n").alias("n_longer"))
     )
