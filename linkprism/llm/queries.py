@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkprism.llm import mojibake, tokenize, truncation
+from linkprism.llm import lookalikes, mojibake, tokenize, truncation
 from linkprism.runtime import table
 
 LINKS = "sample_classified_prompt_links"
@@ -31,6 +31,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_restored(spark, sf).select("table_name", "record_id", "link_pos")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return lookalikes.disguised(table(spark, sf, LINKS), table(spark, sf, "known_prompts"))
+
+
+def p5_texts(spark: SparkSession, sf: str) -> DataFrame:
+    links = table(spark, sf, LINKS).select("row_id", "primary_prompt_text")
+    return lookalikes.normalized(links, "primary_prompt_text", "row_id").select("row_id", "normalized_text")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encoded(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
@@ -50,6 +59,8 @@ QUERIES = {
     "p1_limits": p1_limits,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
+    "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
 }
