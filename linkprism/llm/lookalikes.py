@@ -34,7 +34,7 @@ _GREEK = {v: k for k, v in zip("αικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
 
 _AMBIGUOUS = {*_TO_LATIN, *_TO_LATIN.values(), *_TO_CYRILLIC, *_TO_CYRILLIC.values()}
 
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 _LETTERS = {"latin": r"A-Za-zªºÀ-ÖØ-öø-ɏɐ-ʯḀ-ỿℓ", "greek": r"Ͱ-Ͽἀ-῿", "cyrillic": r"Ѐ-ԯꙀ-ꚟ"}
 _SCRIPT = {k: re.compile(f"[{v}]") for k, v in _LETTERS.items()}
 _FOREIGN = re.compile(f"[{_LETTERS['greek']}{_LETTERS['cyrillic']}ɑɡıℓ]")
@@ -141,11 +141,11 @@ def normalized(df: DataFrame, text: str, row_id: str, out: str = "normalized_tex
     touched = df.where(c.rlike(r"[^\x00-\x7f]")).select(F.col(row_id).alias("_id"), base(c).alias("_b")).select("_id", "_b.*")
     asked = touched.where("foreign").select("_id", "folded")
     options = asked.select("_id", F.explode(candidates("folded")).alias("x")).select("_id", "x.*")
-    known = vocabulary(df, text).select(F.col("word").alias("_w"))
+    known = vocabulary(df, text).select(F.col("word").alias("_w"), "n_uses")
     chosen = (
         options.join(known, F.lower("repair") == F.col("_w"))
         .groupBy("_id", "token")
-        .agg(F.min(F.struct("place", "repair")).alias("best"))
+        .agg(F.max(F.struct("n_uses", (-F.col("place")).alias("place"), "repair")).alias("best"))  # the better known word, then the dominant script
         .groupBy("_id")
         .agg(F.collect_list(F.struct("token", F.col("best.repair").alias("repair"))).alias("_map"))
     )
