@@ -13,11 +13,12 @@ def is_text(c: Column) -> Column:
     return c.isNotNull() & c.rlike(NOT_BLANK)
 
 
-def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """At most ``bound`` distinct values of ``key``, by smallest hash, so the choice does not depend on order.
+def bounded_sample(df: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """About ``bound`` rows, never more, chosen by a hash of ``keys`` so that the choice does not depend on order.
 
-    Only for fitting models: the bound is a documented parameter of the caller.
-    Fetching them is a top-k, so at most ``bound`` rows per task travel.
+    Only for fitting models: the bound is a documented parameter of the caller. One
+    count sets the share to keep; only the kept rows travel.
     """
-    h = F.xxhash64(F.col(key))
-    return df.withColumn("_h", h).dropDuplicates([key]).orderBy("_h", key).limit(bound).drop("_h")
+    total = df.count()
+    share = 1.0 if total <= bound else 0.95 * bound / total
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(bound)

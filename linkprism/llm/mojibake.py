@@ -235,10 +235,10 @@ def fit(texts: list[str], rounds: int = 2, alpha: float = 0.02) -> GarbleModel:
     return model
 
 
-def fit_from(df: DataFrame, column: str, bound: int = SAMPLE_BOUND) -> GarbleModel:
-    """Fit on at most ``bound`` distinct non-ASCII texts of the corpus (the bound of the training sample)."""
-    pool = df.select(F.col(column).alias("_t")).where(F.col("_t").rlike(r"[^\x00-\x7f]"))
-    return fit([r[0] for r in bounded_sample(pool, "_t", bound).collect()])
+def fit_from(df: DataFrame, column: str, keys: list[str], bound: int = SAMPLE_BOUND) -> GarbleModel:
+    """Fit on at most ``bound`` non-ASCII texts of the corpus (the bound of the training sample), each text once."""
+    pool = df.where(F.col(column).rlike(r"[^\x00-\x7f]")).select(*keys, F.col(column).alias("_t"))
+    return fit(sorted({r[0] for r in bounded_sample(pool, keys, bound).select("_t").collect()}))
 
 
 def repaired(df: DataFrame, text: str, model: GarbleModel) -> DataFrame:
@@ -271,4 +271,4 @@ def all_texts(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 def garbled_records(links: DataFrame, pages: DataFrame, bound: int = SAMPLE_BOUND) -> DataFrame:
     texts = all_texts(links, pages)
-    return repaired(texts, "text", fit_from(texts, "text", bound)).where(F.col("garble_chain").isNotNull())
+    return repaired(texts, "text", fit_from(texts, "text", ["table_name", "record_id", "link_pos"], bound)).where(F.col("garble_chain").isNotNull())

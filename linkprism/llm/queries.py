@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkprism.llm import lookalikes, mojibake, tokenize, truncation
+from linkprism.llm import language, lookalikes, mojibake, tokenize, truncation
 from linkprism.runtime import table
 
 LINKS = "sample_classified_prompt_links"
@@ -23,6 +23,14 @@ def p1_limits(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.exposed_limits(table(spark, sf, "sample_prompt_links"), "source_domain")
 
 
+def p3_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return language.relabelled(table(spark, sf, LINKS), table(spark, sf, "lang_samples"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_segments(spark, sf).where("is_case").select("row_id", "segment_no", "lang")
+
+
 def p4_restored(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.garbled_records(table(spark, sf, LINKS), table(spark, sf, "demo_pages"))
 
@@ -57,6 +65,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_source_rates": p1_source_rates,
     "p1_limits": p1_limits,
+    "p3_found": p3_found,
+    "p3_segments": p3_segments,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p5_found": p5_found,
