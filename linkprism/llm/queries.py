@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkprism.llm import language, lookalikes, mojibake, tokenize, truncation
+from linkprism.llm import duplicates, language, lookalikes, mojibake, tokenize, truncation
 from linkprism.runtime import table
 
 LINKS = "sample_classified_prompt_links"
@@ -48,6 +48,14 @@ def p5_texts(spark: SparkSession, sf: str) -> DataFrame:
     return lookalikes.normalized(links, "primary_prompt_text", "row_id").select("row_id", "normalized_text")
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicates.copies(table(spark, sf, LINKS))[1]
+
+
+def p6_records(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicates.copies(table(spark, sf, LINKS))[0]
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encoded(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "ids")
 
@@ -71,6 +79,8 @@ QUERIES = {
     "p4_restored": p4_restored,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
+    "p6_found": p6_found,
+    "p6_records": p6_records,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
 }
