@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkprism.llm import duplicates, language, lookalikes, mojibake, tokenize, truncation
+from linkprism.llm import duplicates, language, lookalikes, mixing, mojibake, reading, tokenize, truncation
 from linkprism.runtime import table
 
 LINKS = "sample_classified_prompt_links"
@@ -69,6 +69,29 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy(src.alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum(same).alias("n_same"))
 
 
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(p9_mixture(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading.levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p10_levels(spark, sf).where("reading_level = 'demanding'").select("doc_id")
+
+
+def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents per source and level; documents without a level under 'none'."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("_d"), mixing.source_name(F.col("source")).alias("source"))
+    level = p10_levels(spark, sf).select("doc_id", F.coalesce("reading_level", F.lit("none")).alias("reading_level"))
+    return docs.join(level, F.col("_d") == F.col("doc_id")).groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_source_rates": p1_source_rates,
@@ -83,6 +106,11 @@ QUERIES = {
     "p6_records": p6_records,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
+    "p10_profile": p10_profile,
 }
 
 ORACLE: dict[str, str] = {}
