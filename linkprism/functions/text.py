@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkprism.functions.urls import unquote_plus
 
@@ -23,7 +24,7 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit(""))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield pd.Series([None if v is None else [None if x is None else html.unescape(x) for x in v] for v in s], dtype=object)

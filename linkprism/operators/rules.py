@@ -139,17 +139,33 @@ def _path_in(p: Column, exact, prefixes) -> Column:
 
 
 def platform_index(h: Column, p: Column, signatures=SIGNATURES) -> Column:
-    """Number of the matching signature; -1 if a signature's path exclusion stops the search, null if none matches."""
-    out = None
+    """Number of the matching signature; -1 if a signature's path exclusion stops the search, null if none matches.
+
+    The host and its parents are looked up in a literal map from suffix to signatures,
+    so host and path enter the plan once, however many rules there are.
+    """
+    owners: dict[str, list[int]] = {}
     for i, s in enumerate(signatures):
-        on = _host_in(h, s.suffixes)
-        branches = []
-        if s.exact or s.prefixes:
-            branches.append((on & _path_in(p, s.exact, s.prefixes), -1))
-        branches.append((on & _any(p.startswith(x) for x in s.require) if s.require else on, i))
-        for cond, value in branches:
-            out = F.when(cond, F.lit(value)) if out is None else out.when(cond, F.lit(value))
-    return F.lit(None).cast("int") if out is None else out
+        for x in s.suffixes:
+            owners.setdefault(x, []).append(i)
+    if not owners:
+        return F.lit(None).cast("int")
+    by_suffix = F.create_map(*[c for x, ids in owners.items() for c in (F.lit(x), F.array(*[F.lit(i) for i in ids]))])
+    labels = F.split(h, r"\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(parents, lambda x: F.try_element_at(by_suffix, x)), lambda x: x.isNotNull()))))
+
+    def outcome(i: Column) -> Column:
+        out = None
+        for k, s in enumerate(signatures):
+            for cond, value in (
+                *([(_path_in(p, s.exact, s.prefixes), F.lit(-1))] if s.exact or s.prefixes else []),
+                *([(~_any(p.startswith(x) for x in s.require), F.lit(None).cast("int"))] if s.require else []),
+            ):
+                out = F.when((i == k) & cond, value) if out is None else out.when((i == k) & cond, value)
+        return i if out is None else out.otherwise(i)
+
+    return F.get(F.filter(F.transform(ids, outcome), lambda x: x.isNotNull()), F.lit(0))
 
 
 def matched(df: DataFrame, url: str, signatures=SIGNATURES) -> DataFrame:
@@ -222,7 +238,11 @@ def ioc_columns(params: Column) -> dict[str, Column]:
     hits_of = lambda v: F.flatten(F.array(*[keywords_in(v, ks) for ks in IOC_KEYWORDS.values()]))
     values = F.flatten(F.map_values(params))
     hit_keys = F.filter(F.array_sort(F.map_keys(params)), lambda k: F.exists(params[k], lambda v: F.size(hits_of(v)) > 0))
-    by = {c: F.array_sort(F.array_distinct(F.flatten(F.transform(values, lambda v, ks=ks: keywords_in(v, ks))))) for c, ks in IOC_KEYWORDS.items()}
+
+    def found(words: list[str]) -> Column:
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(values, lambda v: keywords_in(v, words)))))
+
+    by = {c: found(words) for c, words in IOC_KEYWORDS.items()}
     hits = F.map_filter(F.create_map(*[x for c in sorted(by) for x in (F.lit(c), by[c])]), lambda _, v: F.size(v) > 0)
     return {
         "ioc_parameter_keys": F.array_sort(F.map_keys(params)),
