@@ -54,16 +54,16 @@ def collected_parameters(df: DataFrame, url: str) -> DataFrame:
     c = F.col(url)
     grok = urls.netloc(c).isin("x.com", "www.x.com") & F.lower(urls.path(c)).startswith("/i/grok")
     kv = F.filter(urls.parameters(c), lambda x: F.lower(x["k"]).isin("q", "prompt") | ((F.lower(x["k"]) == "text") & grok))
-    asked = df.withColumn("_kv", F.when(may_have_prompt(c), kv).otherwise(F.array().cast("array<struct<k:string,v:string>>")))
-    plain = asked.withColumn("_v", unescape_all(F.transform("_kv", lambda x: x["v"])))
-    pairs = F.zip_with("_kv", "_v", lambda a, b: F.struct(a["k"].alias("k"), squeeze(b).alias("v")))
-    kept = plain.withColumn("_kv", F.filter(pairs, lambda x: x["v"] != ""))
-    names = F.array_distinct(F.transform("_kv", lambda x: x["k"]))
+    asked = df.withColumn("__lp_kv", F.when(may_have_prompt(c), kv).otherwise(F.array().cast("array<struct<k:string,v:string>>")))
+    plain = asked.withColumn("__lp_v", unescape_all(F.transform("__lp_kv", lambda x: x["v"])))
+    pairs = F.zip_with("__lp_kv", "__lp_v", lambda a, b: F.struct(a["k"].alias("k"), squeeze(b).alias("v")))
+    kept = plain.withColumn("__lp_kv", F.filter(pairs, lambda x: x["v"] != ""))
+    names = F.array_distinct(F.transform("__lp_kv", lambda x: x["k"]))
     # Values by exact key; then the last exact key of each lower-case key.
     last = F.filter(names, lambda k: k == F.element_at(F.filter(names, lambda j: F.lower(j) == F.lower(k)), -1))
-    entries = F.transform(last, lambda k: F.struct(F.lower(k), F.transform(F.filter("_kv", lambda x: x["k"] == k), lambda x: x["v"])))
+    entries = F.transform(last, lambda k: F.struct(F.lower(k), F.transform(F.filter("__lp_kv", lambda x: x["k"] == k), lambda x: x["v"])))
     empty = F.create_map().cast("map<string,array<string>>")
-    return kept.withColumn("prompt_parameters", F.coalesce(F.map_from_entries(entries), empty)).drop("_kv", "_v")
+    return kept.withColumn("prompt_parameters", F.coalesce(F.map_from_entries(entries), empty)).drop("__lp_kv", "__lp_v")
 
 
 def prompt_links(pages: DataFrame, crawl: str, wat_file: str = "") -> DataFrame:

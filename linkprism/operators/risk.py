@@ -65,21 +65,21 @@ def ranked(df: DataFrame, domain: str, ranking: DataFrame) -> DataFrame:
     lookup runs once per distinct domain; how the ranking (domain, rank) is joined is
     left to its size.
     """
-    parts = F.split("_root", r"\.")
+    parts = F.split("__lp_root", r"\.")
     tries = F.transform(F.sequence(F.lit(0), F.greatest(F.size(parts) - 2, F.lit(0))), lambda i: F.array_join(F.slice(parts, i + 1, F.size(parts)), "."))
-    asked = df.select(F.col(domain).alias("_root")).where("_root <> ''").distinct().select("_root", F.posexplode(tries).alias("_pos", "_try"))
+    asked = df.select(F.col(domain).alias("__lp_root")).where("__lp_root <> ''").distinct().select("__lp_root", F.posexplode(tries).alias("_pos", "_try"))
     hit = asked.join(ranking.select(F.col("domain").alias("_try"), "rank"), "_try")
-    best = hit.groupBy("_root").agg(F.min(F.struct("_pos", "rank", "_try")).alias("_b"))
-    joined = df.join(best, df[domain] == F.col("_root"), "left")
-    found = F.col("_b").isNotNull()
+    best = hit.groupBy("__lp_root").agg(F.min(F.struct("_pos", "rank", "_try")).alias("__lp_b"))
+    joined = df.join(best, df[domain] == F.col("__lp_root"), "left")
+    found = F.col("__lp_b").isNotNull()
     return joined.withColumns(
         {
-            "tranco_rank": F.col("_b.rank"),
-            "tranco_matched_domain": F.coalesce("_b._try", F.lit("")),
-            "tranco_bucket": bucket(F.col("_b.rank")),
-            "tranco_match_type": F.when(~found, F.lit("not_ranked")).when(F.col("_b._pos") == 0, F.lit("exact_root")).otherwise(F.lit("parent_match")),
+            "tranco_rank": F.col("__lp_b.rank"),
+            "tranco_matched_domain": F.coalesce("__lp_b._try", F.lit("")),
+            "tranco_bucket": bucket(F.col("__lp_b.rank")),
+            "tranco_match_type": F.when(~found, F.lit("not_ranked")).when(F.col("__lp_b._pos") == 0, F.lit("exact_root")).otherwise(F.lit("parent_match")),
         }
-    ).drop("_root", "_b")
+    ).drop("__lp_root", "__lp_b")
 
 
 def _high_medium() -> list[Column]:

@@ -189,14 +189,14 @@ def prompt_parameters(df: DataFrame, url: str, signatures=SIGNATURES) -> DataFra
     stripped of entities and squeezed; blank values and keys without values are left out.
     """
     keys = F.get(F.array(*[F.array(*[F.lit(k) for k in s.params]) for s in signatures]), F.when(F.col("signature") >= 0, F.col("signature")))
-    wanted = df.withColumn("_kv", F.filter(urls.parameters(F.col(url)), lambda x: F.array_contains(F.coalesce(keys, F.array().cast("array<string>")), x["k"])))
-    plain = wanted.withColumn("_v", unescape_all(F.transform("_kv", lambda x: x["v"])))
-    pairs = F.zip_with("_kv", "_v", lambda a, b: F.struct(a["k"].alias("k"), squeeze(decode_to_fixpoint(b)).alias("v")))
-    kept = plain.withColumn("_kv", F.filter(pairs, lambda x: x["v"] != ""))
-    present = F.filter(keys, lambda k: F.exists("_kv", lambda x: x["k"] == k))
-    entries = F.transform(present, lambda k: F.struct(k, F.transform(F.filter("_kv", lambda x: x["k"] == k), lambda x: x["v"])))
+    wanted = df.withColumn("__lp_kv", F.filter(urls.parameters(F.col(url)), lambda x: F.array_contains(F.coalesce(keys, F.array().cast("array<string>")), x["k"])))
+    plain = wanted.withColumn("__lp_v", unescape_all(F.transform("__lp_kv", lambda x: x["v"])))
+    pairs = F.zip_with("__lp_kv", "__lp_v", lambda a, b: F.struct(a["k"].alias("k"), squeeze(decode_to_fixpoint(b)).alias("v")))
+    kept = plain.withColumn("__lp_kv", F.filter(pairs, lambda x: x["v"] != ""))
+    present = F.filter(keys, lambda k: F.exists("__lp_kv", lambda x: x["k"] == k))
+    entries = F.transform(present, lambda k: F.struct(k, F.transform(F.filter("__lp_kv", lambda x: x["k"] == k), lambda x: x["v"])))
     empty = F.create_map().cast("map<string,array<string>>")
-    return kept.withColumn("prompt_parameters", F.coalesce(F.map_from_entries(entries), empty)).drop("_kv", "_v")
+    return kept.withColumn("prompt_parameters", F.coalesce(F.map_from_entries(entries), empty)).drop("__lp_kv", "__lp_v")
 
 
 def flattened(params: Column) -> Column:

@@ -40,9 +40,9 @@ def model_classified(df: DataFrame, text: str, load: Callable[[], Scorer], limit
                     out[i] = {x: float(p.get(x, 0.0)) for x in LABELS}
             yield pd.Series(out, dtype=object)
 
-    scored = df.withColumn("_p", score(F.col(text)))
-    over = F.array_compact(F.array(*[F.when(F.col("_p")[x] >= limits[x], F.lit(x)) for x in LABELS]))
+    scored = df.withColumn("__lp_p", score(F.col(text)))
+    over = F.array_compact(F.array(*[F.when(F.col("__lp_p")[x] >= limits[x], F.lit(x)) for x in LABELS]))
     unsure = F.lit(False)
     for x in LABELS:
-        unsure = unsure | ((F.col("_p")[x] < limits[x]) & (F.col("_p")[x] >= UNCERTAIN))
-    return classified(scored, over, "model", "model", name, F.col("_p"), unsure).drop("_p")
+        unsure = unsure | ((F.col("__lp_p")[x] < limits[x]) & (F.col("__lp_p")[x] >= UNCERTAIN))
+    return classified(scored, over, "model", "model", name, F.col("__lp_p"), unsure).drop("__lp_p")

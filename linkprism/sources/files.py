@@ -56,9 +56,10 @@ def is_object(line: Column) -> Column:
 
 def json_lines(spark: SparkSession, path: str, schema: str = ROW) -> DataFrame:
     """Permissive: (value, is_error, row); blank lines are left out."""
-    lines = raw_lines(spark, path).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    filled = F.trim(F.regexp_replace("value", r"[\r\n]", "")) != ""
     ok = is_object(F.col("value"))
-    return lines.select("value", (~ok).alias("is_error"), F.when(ok, F.from_json("value", schema)).alias("row"))
+    # The optimizer may evaluate the error before the filter, so the error repeats the condition.
+    return raw_lines(spark, path).where(filled).select("value", (~ok & filled).alias("is_error"), F.when(ok, F.from_json("value", schema)).alias("row"))
 
 
 def json_rows(spark: SparkSession, path: str, schema: str = ROW) -> DataFrame:
