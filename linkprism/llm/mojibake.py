@@ -258,7 +258,7 @@ def repaired(df: DataFrame, text: str, model: GarbleModel) -> DataFrame:
             yield pd.DataFrame([m.decide(t, cache) if t else (None, None) for t in s], columns=["chain", "restored"], dtype=object)
 
     c = F.col(text)
-    return df.withColumn("_j", judge(F.when(c.rlike(r"[^\x00-\x7f]"), c))).withColumns({"garble_chain": F.col("_j.chain"), "restored_text": F.col("_j.restored")}).drop("_j")
+    return df.withColumn("__lp_j", judge(F.when(c.rlike(r"[^\x00-\x7f]"), c))).withColumns({"garble_chain": F.col("__lp_j.chain"), "restored_text": F.col("__lp_j.restored")}).drop("__lp_j")
 
 
 def all_texts(links: DataFrame, pages: DataFrame) -> DataFrame:

@@ -246,7 +246,7 @@ def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link
     limits = exposed_limits(df, source).groupBy("field_name", F.col("source").alias("_src")).agg(F.collect_list(F.struct("measure", "limit_len")).alias("limits"))
     m = measures(F.col("v"))
     lens = F.map_from_arrays(F.array(*[F.lit(k) for k in m]), F.array(*m.values()))
-    at = values.join(limits, ["field_name", "_src"], "left").withColumn("limit", F.coalesce(F.exists("limits", lambda x: lens[x["measure"]] == x["limit_len"]), F.lit(False))).drop("limits", "v")
+    at = values.join(limits, ["field_name", "_src"], "left").withColumn("limit", F.when(F.col("limits").isNotNull(), F.exists("limits", lambda x: lens[x["measure"]] == x["limit_len"])).otherwise(F.lit(False))).drop("limits", "v")
 
     asked = at.where("open and not cut").select("_id", "_src", "field_name", "lk", "sk", "ctx", "word")
     keyed = _closed(stats, _closed(stats, asked, "lk", "lit"), "sk", "shp")
