@@ -33,8 +33,8 @@ _SEP = "\x01"
 
 
 def fold_case(c: Column) -> Column:
-    """Full case folding: upper, then lower case, so that ß equals SS."""
-    return F.lower(F.upper(c))
+    """Case folding; ß equals SS and final sigma equals sigma."""
+    return F.replace(F.replace(F.lower(F.upper(c)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def canonical_text(c: Column) -> Column:
