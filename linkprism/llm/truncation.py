@@ -250,19 +250,20 @@ def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link
 
     asked = at.where("open and not cut").select("_id", "_src", "field_name", "lk", "sk", "ctx", "word")
     keyed = _closed(stats, _closed(stats, asked, "lk", "lit"), "sk", "shp")
+    # Each distinct ending once: a hot ending would otherwise meet all followers of its context in every row.
+    stems = asked.where("word <> ''").select("ctx", "word", "_src").distinct()
     longer = (
-        asked.where("word <> ''")
-        .join(stats.where("ctx <> ''").select("ctx", F.col("word").alias("other"), (F.col("closed") + F.col("goes_on")).alias("n")), "ctx")
+        stems.join(stats.where("ctx <> ''").select("ctx", F.col("word").alias("other"), (F.col("closed") + F.col("goes_on")).alias("n")), "ctx")
         .where(
             F.when(F.col("other") == "<D>", F.col("_src").startswith(F.lower("word")) & (F.length("_src") > F.length("word")))
             .otherwise(F.col("other").startswith(F.col("word")) & (F.length("other") > F.length("word")))
         )
-        .groupBy("_id", "field_name")
+        .groupBy("ctx", "word", "_src")
         .agg(F.sum("n").alias("n_longer"))
     )
     lit_n = F.coalesce(F.col("lit.closed") + F.col("lit.goes_on"), F.lit(0))
     best = F.when(lit_n >= 3, F.col("lit")).otherwise(F.coalesce(F.col("shp"), F.col("lit")))
-    said = keyed.withColumn("b", best).join(longer, ["_id", "field_name"], "left")
+    said = keyed.withColumn("b", best).join(longer, ["ctx", "word", "_src"], "left")
     ends = F.col("b.closed") + F.greatest(F.col("b.open_end") - 1, F.lit(0))
     verdict = (
         F.when((lit_n == 0) & (F.coalesce("n_longer", F.lit(0)) > 0), F.lit("cut"))
