@@ -59,11 +59,26 @@ def _folds() -> dict[int, str]:
     return table
 
 
+@lru_cache(maxsize=1)
+def _foldable() -> re.Pattern[str]:
+    """One character class over the table's keys, so that most texts skip the table."""
+    keys, ranges = sorted(_folds()), []
+    for k in keys:
+        if ranges and ranges[-1][1] == k - 1:
+            ranges[-1][1] = k
+        else:
+            ranges.append([k, k])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 def fold(text: str) -> str:
     """The rule-based part: invisible characters dropped, forms folded, accents composed."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", _INVISIBLE.sub("", unicodedata.normalize("NFC", text).translate(_folds())))
+    text = unicodedata.normalize("NFC", text)
+    if _foldable().search(text):
+        text = text.translate(_folds())
+    return unicodedata.normalize("NFC", _INVISIBLE.sub("", text)) if _INVISIBLE.search(text) else unicodedata.normalize("NFC", text)
 
 
 def _convert(token: str, script: str) -> str | None:
@@ -138,26 +153,26 @@ def normalized(df: DataFrame, text: str, row_id: str, out: str = "normalized_tex
             yield pd.Series([None if a is None else unicodedata.normalize("NFC", substitute(a, None if b is None else {x["token"]: x["repair"] for x in b})) for a, b in zip(t, m)], dtype=object)
 
     c = F.col(text)
-    touched = df.where(c.rlike(r"[^\x00-\x7f]")).select(F.col(row_id).alias("_id"), base(c).alias("_b")).select("_id", "_b.*")
-    asked = touched.where("foreign").select("_id", "folded")
-    options = asked.select("_id", F.explode(candidates("folded")).alias("x")).select("_id", "x.*")
+    touched = df.where(c.rlike(r"[^\x00-\x7f]")).select(F.col(row_id).alias("__lp_id"), base(c).alias("__lp_b")).select("__lp_id", "__lp_b.*")
+    asked = touched.where("foreign").select("__lp_id", "folded")
+    options = asked.select("__lp_id", F.explode(candidates("folded")).alias("x")).select("__lp_id", "x.*")
     known = vocabulary(df, text).select(F.col("word").alias("_w"), "n_uses")
     chosen = (
         options.join(known, F.lower("repair") == F.col("_w"))
-        .groupBy("_id", "token")
+        .groupBy("__lp_id", "token")
         .agg(F.max(F.struct("n_uses", (-F.col("place")).alias("place"), "repair")).alias("best"))  # the better known word, then the dominant script
-        .groupBy("_id")
-        .agg(F.collect_list(F.struct("token", F.col("best.repair").alias("repair"))).alias("_map"))
+        .groupBy("__lp_id")
+        .agg(F.collect_list(F.struct("token", F.col("best.repair").alias("repair"))).alias("__lp_map"))
     )
     return _attach(df, touched, chosen, apply, row_id, text, out)
 
 
 def _attach(df: DataFrame, touched: DataFrame, chosen: DataFrame, apply, row_id: str, text: str, out: str) -> DataFrame:
-    fixed = touched.join(chosen, "_id", "left").select(
-        "_id", F.when(F.col("_map").isNotNull(), apply("folded", "_map")).otherwise(F.col("folded")).alias("_new")
+    fixed = touched.join(chosen, "__lp_id", "left").select(
+        "__lp_id", F.when(F.col("__lp_map").isNotNull(), apply("folded", "__lp_map")).otherwise(F.col("folded")).alias("__lp_new")
     )
     ascii_rows = df.where(F.col(text).isNull() | ~F.col(text).rlike(r"[^\x00-\x7f]")).withColumn(out, F.col(text))
-    other = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).join(fixed, F.col(row_id) == F.col("_id"), "left").withColumn(out, F.col("_new")).drop("_id", "_new")
+    other = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).join(fixed, F.col(row_id) == F.col("__lp_id"), "left").withColumn(out, F.col("__lp_new")).drop("__lp_id", "__lp_new")
     return ascii_rows.unionByName(other)
 
 
