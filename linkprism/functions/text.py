@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkprism.functions.binding import let
 from linkprism.functions.urls import unquote_plus
 
 _SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
@@ -43,8 +44,7 @@ def decode_to_fixpoint(c: Column) -> Column:
 
 def keywords_in(text: Column, keywords: list[str]) -> Column:
     """The keywords that occur in the lower-case text, in list order."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, k))
+    return let(F.lower(text), lambda low: F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(low, k)))
 
 
 def top_items(ranked: Column, n: int = 3) -> Column:

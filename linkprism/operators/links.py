@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkprism.functions import urls
+from linkprism.functions.binding import let
 from linkprism.functions.text import squeeze, unescape_all
 
 _EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -52,18 +53,24 @@ def collected_parameters(df: DataFrame, url: str) -> DataFrame:
     differ in case the last one counts. Null and unparsable addresses give an empty map.
     """
     c = F.col(url)
+    empty = F.array().cast("array<struct<k:string,v:string>>")
     grok = urls.netloc(c).isin("x.com", "www.x.com") & F.lower(urls.path(c)).startswith("/i/grok")
-    kv = F.filter(urls.parameters(c), lambda x: F.lower(x["k"]).isin("q", "prompt") | ((F.lower(x["k"]) == "text") & grok))
-    asked = df.withColumn("__lp_kv", F.when(may_have_prompt(c), kv).otherwise(F.array().cast("array<struct<k:string,v:string>>")))
+    wanted = let(grok, lambda g: F.filter(urls.parameters(c), lambda x: F.lower(x["k"]).isin("q", "prompt") | ((F.lower(x["k"]) == "text") & g)))
+    asked = df.withColumn("__lp_kv", F.when(may_have_prompt(c), wanted).otherwise(empty))
     plain = asked.withColumn("__lp_v", unescape_all(F.transform("__lp_kv", lambda x: x["v"])))
     pairs = F.zip_with("__lp_kv", "__lp_v", lambda a, b: F.struct(a["k"].alias("k"), squeeze(b).alias("v")))
-    kept = plain.withColumn("__lp_kv", F.filter(pairs, lambda x: x["v"] != ""))
-    names = F.array_distinct(F.transform("__lp_kv", lambda x: x["k"]))
-    # Values by exact key; then the last exact key of each lower-case key.
-    last = F.filter(names, lambda k: k == F.element_at(F.filter(names, lambda j: F.lower(j) == F.lower(k)), -1))
-    entries = F.transform(last, lambda k: F.struct(F.lower(k), F.transform(F.filter("__lp_kv", lambda x: x["k"] == k), lambda x: x["v"])))
-    empty = F.create_map().cast("map<string,array<string>>")
-    return kept.withColumn("prompt_parameters", F.coalesce(F.map_from_entries(entries), empty)).drop("__lp_kv", "__lp_v")
+
+    def by_key(kv: Column) -> Column:
+        """Values by exact key, of keys equal in lower case those of the last."""
+
+        def entries(names: Column) -> Column:
+            last = F.filter(names, lambda k: k == F.element_at(F.filter(names, lambda j: F.lower(j) == F.lower(k)), -1))
+            return F.map_from_entries(F.transform(last, lambda k: F.struct(F.lower(k), F.transform(F.filter(kv, lambda x: x["k"] == k), lambda x: x["v"]))))
+
+        return let(F.array_distinct(F.transform(kv, lambda x: x["k"])), entries)
+
+    found = let(F.filter(pairs, lambda x: x["v"] != ""), by_key)
+    return plain.withColumn("prompt_parameters", F.coalesce(found, F.create_map().cast("map<string,array<string>>"))).drop("__lp_kv", "__lp_v")
 
 
 def prompt_links(pages: DataFrame, crawl: str, wat_file: str = "") -> DataFrame:

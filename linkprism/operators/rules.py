@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkprism.functions import urls
+from linkprism.functions.binding import let
 from linkprism.functions.text import decode_to_fixpoint, keywords_in, squeeze, unescape_all
 
 _M = ("q", "prompt", "query", "message", "text")
 _B = ("q", "prompt", "query", "text")
+PROMPT_KEYS = _M
 
 
 @dataclass(frozen=True)
@@ -188,15 +190,19 @@ def prompt_parameters(df: DataFrame, url: str, signatures=SIGNATURES) -> DataFra
     Keys are case-sensitive and in signature order; values are decoded to a fixpoint,
     stripped of entities and squeezed; blank values and keys without values are left out.
     """
-    keys = F.get(F.array(*[F.array(*[F.lit(k) for k in s.params]) for s in signatures]), F.when(F.col("signature") >= 0, F.col("signature")))
-    wanted = df.withColumn("__lp_kv", F.filter(urls.parameters(F.col(url)), lambda x: F.array_contains(F.coalesce(keys, F.array().cast("array<string>")), x["k"])))
-    plain = wanted.withColumn("__lp_v", unescape_all(F.transform("__lp_kv", lambda x: x["v"])))
+    by_rule = F.array(*[F.array(*[F.lit(k) for k in s.params]) for s in signatures])
+    keys = F.coalesce(F.get(by_rule, F.when(F.col("signature") >= 0, F.col("signature"))), F.array().cast("array<string>"))
+    asked = df.withColumn("__lp_keys", keys)
+    asked = asked.withColumn("__lp_kv", F.filter(F.when(F.size("__lp_keys") > 0, urls.parameters(F.col(url))), lambda x: F.array_contains("__lp_keys", x["k"])))
+    plain = asked.withColumn("__lp_v", unescape_all(F.transform("__lp_kv", lambda x: x["v"])))
     pairs = F.zip_with("__lp_kv", "__lp_v", lambda a, b: F.struct(a["k"].alias("k"), squeeze(decode_to_fixpoint(b)).alias("v")))
-    kept = plain.withColumn("__lp_kv", F.filter(pairs, lambda x: x["v"] != ""))
-    present = F.filter(keys, lambda k: F.exists("__lp_kv", lambda x: x["k"] == k))
-    entries = F.transform(present, lambda k: F.struct(k, F.transform(F.filter("__lp_kv", lambda x: x["k"] == k), lambda x: x["v"])))
-    empty = F.create_map().cast("map<string,array<string>>")
-    return kept.withColumn("prompt_parameters", F.coalesce(F.map_from_entries(entries), empty)).drop("__lp_kv", "__lp_v")
+
+    def by_key(kv: Column) -> Column:
+        present = F.filter("__lp_keys", lambda k: F.exists(kv, lambda x: x["k"] == k))
+        return F.map_from_entries(F.transform(present, lambda k: F.struct(k, F.transform(F.filter(kv, lambda x: x["k"] == k), lambda x: x["v"]))))
+
+    found = let(F.filter(pairs, lambda x: x["v"] != ""), by_key)
+    return plain.withColumn("prompt_parameters", F.coalesce(found, F.create_map().cast("map<string,array<string>>"))).drop("__lp_kv", "__lp_v", "__lp_keys")
 
 
 def flattened(params: Column) -> Column:
@@ -208,10 +214,8 @@ def primary_prompt(params: Column) -> Column:
     return F.coalesce(F.get(flattened(params), 0), F.lit(""))
 
 
-def noise_reason(url: Column) -> Column:
-    """Code of a structural noise page, or null; an explicit prompt key is never noise."""
-    h, p = urls.netloc(url), F.lower(urls.path(url))
-    has_prompt = F.exists(urls.parameters(url), lambda x: x["k"].isin(*_M))
+def noise_code(h: Column, p: Column, has_prompt: Column) -> Column:
+    """Code of a structural noise page from host, lower-case path and whether a prompt key has a value; else null."""
     out = F.when((F.coalesce(h, F.lit("")) == "") | F.coalesce(has_prompt, F.lit(False)), F.lit(None).cast("string"))
     out = out.when(_host_in(h, ("x.com",)) & ~p.startswith("/i/grok"), F.lit("x_non_grok_path"))
     for code, hosts, sub, exact, prefixes in NOISE:
@@ -219,11 +223,20 @@ def noise_reason(url: Column) -> Column:
     return out
 
 
-def session_reason(url: Column, platform: Column, params: Column) -> Column:
-    """Why a link opens a session, or null; the first rule that holds."""
-    h, p = urls.netloc(url), F.lower(urls.path(url))
+def _place(url: Column) -> Column:
+    has_prompt = F.exists(urls.parameters(url), lambda x: x["k"].isin(*_M))
+    return F.struct(urls.netloc(url).alias("h"), F.lower(urls.path(url)).alias("p"), has_prompt.alias("m"))
+
+
+def noise_reason(url: Column) -> Column:
+    """Code of a structural noise page, or null; an explicit prompt key is never noise."""
+    return let(_place(url), lambda x: noise_code(x["h"], x["p"], x["m"]))
+
+
+def session_code(h: Column, p: Column, noise: Column, platform: Column, params: Column) -> Column:
+    """Why a link opens a session from host, lower-case path and noise code; the first rule that holds, else null."""
     p = F.when(p == "", F.lit("/")).otherwise(p)
-    out = F.when(platform.isNull() | noise_reason(url).isNotNull(), F.lit(None).cast("string"))
+    out = F.when(platform.isNull() | noise.isNotNull(), F.lit(None).cast("string"))
     out = out.when(F.size(params) > 0, F.concat(F.lit("prompt_params:"), F.array_join(F.array_sort(F.map_keys(params)), ",")))
     out = out.when((h == "x.com") & p.startswith("/i/grok") & (platform == "grok"), F.lit("x_grok_session"))
     out = out.when(h.isin(*ROOT_SESSION_HOSTS) & (p == "/"), F.lit("platform_root_session"))
@@ -233,17 +246,23 @@ def session_reason(url: Column, platform: Column, params: Column) -> Column:
     return out
 
 
+def session_reason(url: Column, platform: Column, params: Column) -> Column:
+    """Why a link opens a session, or null."""
+    return let(_place(url), lambda x: session_code(x["h"], x["p"], noise_code(x["h"], x["p"], x["m"]), platform, params))
+
+
 def ioc_columns(params: Column) -> dict[str, Column]:
     """Keyword indicators of the prompt parameters: keys, patterns, hits by category, categories, flag."""
-    hits_of = lambda v: F.flatten(F.array(*[keywords_in(v, ks) for ks in IOC_KEYWORDS.values()]))
-    values = F.flatten(F.map_values(params))
-    hit_keys = F.filter(F.array_sort(F.map_keys(params)), lambda k: F.exists(params[k], lambda v: F.size(hits_of(v)) > 0))
+    everything = [k for ks in IOC_KEYWORDS.values() for k in ks]
+    hit_keys = F.filter(F.array_sort(F.map_keys(params)), lambda k: F.exists(params[k], lambda v: let(F.lower(v), lambda low: _any(low.contains(w) for w in everything))))
 
-    def found(words: list[str]) -> Column:
+    def found(values: Column, words: list[str]) -> Column:
         return F.array_sort(F.array_distinct(F.flatten(F.transform(values, lambda v: keywords_in(v, words)))))
 
-    by = {c: found(words) for c, words in IOC_KEYWORDS.items()}
-    hits = F.map_filter(F.create_map(*[x for c in sorted(by) for x in (F.lit(c), by[c])]), lambda _, v: F.size(v) > 0)
+    hits = let(
+        F.flatten(F.map_values(params)),
+        lambda values: F.map_filter(F.create_map(*[x for c in sorted(IOC_KEYWORDS) for x in (F.lit(c), found(values, IOC_KEYWORDS[c]))]), lambda _, v: F.size(v) > 0),
+    )
     return {
         "ioc_parameter_keys": F.array_sort(F.map_keys(params)),
         "ioc_parameter_patterns": F.transform(hit_keys, lambda k: F.concat(F.lit("?"), k, F.lit("="))),

@@ -36,10 +36,11 @@ def enrich(rows: DataFrame, signatures=rules.SIGNATURES, label: Callable[[DataFr
     df = rules.prompt_parameters(rules.matched(df.drop("target_platform", "target_domain"), "target_url", signatures), "target_url", signatures)
     params = F.col("prompt_parameters")
     df = df.withColumns({"decoded_prompt_candidates": rules.flattened(params), "primary_prompt_text": rules.primary_prompt(params), "has_prompt_parameters": F.size(params) > 0})
-    session = rules.session_reason(F.col("target_url"), F.col("target_platform"), params)
-    df = df.withColumns(
-        {"session_entry_reason": F.coalesce(session, F.lit("")), "structural_noise_reason": F.coalesce(rules.noise_reason(F.col("target_url")), F.lit(""))} | rules.ioc_columns(params)
-    ).withColumn("is_session_entry", F.col("session_entry_reason") != "")
+    h, p = F.col("target_domain"), F.col("target_path")
+    has_prompt = F.exists(urls.parameters(F.col("target_url")), lambda x: x["k"].isin(*rules.PROMPT_KEYS))
+    df = df.withColumn("structural_noise_reason", rules.noise_code(h, p, has_prompt)).withColumns(rules.ioc_columns(params))
+    df = df.withColumn("session_entry_reason", F.coalesce(rules.session_code(h, p, F.col("structural_noise_reason"), F.col("target_platform"), params), F.lit("")))
+    df = df.withColumns({"structural_noise_reason": F.coalesce("structural_noise_reason", F.lit("")), "is_session_entry": F.col("session_entry_reason") != ""})
     done = label(df) if label else rules.classified(df, rules.rule_labels(F.col("primary_prompt_text")))
     return done.drop("signature", "target_path")
 
