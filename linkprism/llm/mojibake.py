@@ -53,6 +53,9 @@ _MIXED = re.compile(r"(?=.*[A-Za-z\u00c0-\u024f])(?=.*[\u0370-\u052f])", re.S)
 _SYMBOL = re.compile(r"[^\x00-\x7f\w]")
 _EAST = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]")
 _CJK = ("gbk", "big5", "shift_jis", "euc_jp")
+#: Signs and spaces of careful typography: alone they are no sign of a one-to-one or East Asian chain.
+_TYPOGRAPHY = frozenset("\u00a0\u00ad«»„“”‘’‚‹›…–—™®©°½¼¾¿¡·•\u2007\u2009\u202f\u200b\u200c\u200d\u2060\ufeff\u3000")
+_SPACING = _TYPOGRAPHY - frozenset("¿¡½¼¾®©°™·•")
 _MULTIBYTE = ("utf-8", "gbk", "big5", "shift_jis", "euc_jp")
 
 
@@ -165,14 +168,21 @@ class GarbleModel:
             return found
         clean, here = self.clean_mean([b for *_, b in tried]), self.clean_mean(tokens)
         for (i, c, gain, back), mean in zip(tried, clean):
-            if self.chains[c][0] in _CJK and not _EAST.search(back):
+            if self.chains[c][0] != "utf-8" and all(x < "\x80" or x in _TYPOGRAPHY for x in tokens[i]):
                 continue
             better = self.known(back) - self.known(tokens[i])
+            if self.chains[c][0] in _CJK:  # a few bytes always make a character or two
+                east = len(_EAST.findall(back))
+                if not east or east < 2 and len(back) > 2 or east < 3 and better < -0.5:
+                    continue
             gain += 2 * better + 2 * min(4.0, (mean if not back.isascii() else -6.0) - here[i])
             if self.chains[c][0] not in _MULTIBYTE:
                 if len(_SYMBOL.findall(back)) > len(_SYMBOL.findall(tokens[i])) or better < -0.5:
                     continue
-                gain = gain if better > 1 else 0.0
+                if len(back) == len(tokens[i]) and any(x in _SPACING and x != y for x, y in zip(tokens[i], back)):
+                    continue
+                # A single letter is a word of many languages: it must be far better known.
+                gain = gain if better > (1 if max(map(len, _WORD.findall(back)), default=0) > 1 else 3) else 0.0
             elif gain <= self.token_margin:
                 continue
             found[i].append((c, gain, back))
