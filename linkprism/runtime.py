@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SERIAL = itertools.count()
 _RUN = uuid.uuid4().hex[:12]
 _CLEAN: set[str] = set()
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "linkprism", shuffle: int = 8) -> SparkSession:
@@ -30,7 +34,23 @@ def local_session(cores: int | str = "*", app: str = "linkprism", shuffle: int =
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application; their Python need not find it otherwise."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="linkprism-code-"), "linkprism.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(target))
+    atexit.register(shutil.rmtree, target.parent, True)  # executors fetch it from the driver when they first need it
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
