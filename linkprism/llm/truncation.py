@@ -29,7 +29,8 @@ PROMPT_KEYS = ("q", "prompt", "query", "text", "message")
 
 _TERMINAL = set(".!?。！？)）]」』”»\"“")
 _STOP = re.compile(r"[.!?。！？;；:：]+")
-_TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+(?:[-.'’][^\W_]+)*|[.!?。！？]+|[#@(\[“„«\"]")
+_EAST = "\u3040-\u30ff\u3400-\u9fff"
+_TOKEN = re.compile(rf"[{_EAST}]|[^\W_{_EAST}]+(?:[-.'’][^\W_{_EAST}]+)*|[.!?。！？]+|[#@(\[“„«\"]")
 _PARTIAL = re.compile(r"%[0-9A-Fa-f]?$")
 _DOTS = re.compile(r"\s*(?:\.\.\.|…)$")
 
