@@ -113,4 +113,18 @@ QUERIES = {
     "p10_profile": p10_profile,
 }
 
-ORACLE: dict[str, str] = {}
+_IGNORED = r"'[\s\x0b\p{Z}\p{P}\x{85}\x1c-\x1f$+<=>^`|~]+', '', 'g'"
+_FOLD = "replace(replace(lower(upper({0})), 'ß', 'ss'), 'ς', 'σ')"
+_TEXT = f"regexp_replace({_FOLD.format('{0}')}, {_IGNORED})"
+_VALUE = _TEXT.replace("{0}", "url_decode(replace(CASE WHEN contains(p, '=') THEN substr(p, instr(p, '=') + 1) ELSE '' END, '+', ' '))")
+_PARAM = _FOLD.format("url_decode(replace(split_part(p, '=', 1), '+', ' '))") + " || '=' || " + _VALUE
+_COPIES = f"""r AS (SELECT row_id, coalesce(crawl, '') AS crawl, {_TEXT.replace("{0}", "primary_prompt_text")} AS t, CASE WHEN contains(u, '?') THEN substr(u, 1, instr(u, '?') - 1) ELSE u END AS b,
+       CASE WHEN contains(u, '?') THEN substr(u, instr(u, '?') + 1) ELSE '' END AS q
+  FROM (SELECT *, coalesce(target_url, '') AS u FROM sample_classified_prompt_links WHERE regexp_matches(primary_prompt_text, '[^\\s\\x0b\\p{{Z}}\\x00-\\x1f\\x{{85}}\\x{{ad}}\\x{{200b}}-\\x{{200d}}\\x{{2060}}\\x{{feff}}]'))),
+k AS (SELECT row_id, crawl, t, {_FOLD.format("url_decode(b)")} AS b, array_to_string(list_sort(list_transform(string_split(q, '&'), lambda p: {_PARAM})), '&') AS q FROM r),
+g AS (SELECT row_id, min(row_id) OVER (PARTITION BY crawl, t, b, q) AS first_row_id FROM k)"""
+
+ORACLE = {
+    "p6_found": f"WITH {_COPIES} SELECT first_row_id, row_id FROM g WHERE row_id <> first_row_id",
+    "p6_records": f"WITH {_COPIES} SELECT first_row_id, count(*) AS n_copies FROM g GROUP BY first_row_id",
+}
