@@ -153,11 +153,14 @@ def platform_index(h: Column, p: Column, signatures=SIGNATURES) -> Column:
     if not owners:
         return F.lit(None).cast("int")
     by_suffix = F.create_map(*[c for x, ids in owners.items() for c in (F.lit(x), F.array(*[F.lit(i) for i in ids]))])
-    labels = F.split(h, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(parents, lambda x: F.try_element_at(by_suffix, x)), lambda x: x.isNotNull()))))
 
-    def outcome(i: Column) -> Column:
+    def parents(labels: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+    found = let(F.split(h, r"\."), lambda labels: F.filter(F.transform(parents(labels), lambda x: F.try_element_at(by_suffix, x)), lambda x: x.isNotNull()))
+    ids = F.array_sort(F.array_distinct(F.flatten(found)))
+
+    def outcome(i: Column, p: Column) -> Column:
         out = None
         for k, s in enumerate(signatures):
             for cond, value in (
@@ -167,7 +170,7 @@ def platform_index(h: Column, p: Column, signatures=SIGNATURES) -> Column:
                 out = F.when((i == k) & cond, value) if out is None else out.when((i == k) & cond, value)
         return i if out is None else out.otherwise(i)
 
-    return F.get(F.filter(F.transform(ids, outcome), lambda x: x.isNotNull()), F.lit(0))
+    return let(p, lambda path: F.get(F.filter(F.transform(ids, lambda i: outcome(i, path)), lambda x: x.isNotNull()), F.lit(0)))
 
 
 def matched(df: DataFrame, url: str, signatures=SIGNATURES) -> DataFrame:
@@ -176,7 +179,7 @@ def matched(df: DataFrame, url: str, signatures=SIGNATURES) -> DataFrame:
     split = df.withColumns({"target_domain": F.coalesce(urls.netloc(c), F.lit("")), "target_path": F.lower(F.coalesce(urls.path(c), F.lit("")))})
     found = split.withColumn("signature", platform_index(F.col("target_domain"), F.col("target_path"), signatures))
     names = F.array(*[F.lit(s.name) for s in signatures])
-    return found.withColumn("target_platform", F.when(F.col("signature") >= 0, F.get(names, F.col("signature"))))
+    return found.withColumn("target_platform", let(F.col("signature"), lambda i: F.when(i >= 0, F.get(names, i))))
 
 
 def prefilter(line: Column, signatures=SIGNATURES) -> Column:
