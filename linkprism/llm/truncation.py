@@ -147,7 +147,7 @@ def _more(short: str, long: str) -> bool:
 
 def inspect(text: str | None, url: str | None, source: str) -> dict:
     """What the two values of a row show by themselves; see ``cut_values`` for the verdict."""
-    out = dict(text_cut=False, text_open=False, text_known=False, url_cut=False, url_open=False, tk=None, ts=None, tc=None, tw=None, uk=None, us=None, uc=None, uw=None)
+    out = dict(text_cut=False, text_open=False, text_known=False, url_cut=False, url_open=False, url_same=False, url_whole=False, tk=None, ts=None, tc=None, tw=None, uk=None, us=None, uc=None, uw=None)
     t = text if text and text.strip() else None
     u = url if url and url.strip() else None
     prompt, last, raw = prompt_of(u) if u else (None, False, "")
@@ -170,6 +170,9 @@ def inspect(text: str | None, url: str | None, source: str) -> dict:
             k, eq, v = tail.partition("=")
             if not eq or (k == "utm_source" and source and v.lower() != source and source.startswith(v.lower())):
                 out["url_cut"] = True
+            out["url_whole"] = bool(source) and k == "utm_source" and v.lower() == source
+        elif last and not out["url_cut"]:
+            out["url_whole"] = prompt[-1:] in _TERMINAL
     if t:
         out["text_known"] = p is not None and (prompt.rstrip() == t.rstrip() or p.rstrip() == (bare or "").rstrip())  # the address carries the same prompt
         if t.endswith("�"):
@@ -180,16 +183,18 @@ def inspect(text: str | None, url: str | None, source: str) -> dict:
             if source and len(last_word) > 3 and "." in last_word and source != last_word and source.startswith(last_word):
                 out["text_cut"] = True
             out["tk"], out["ts"], out["tc"], out["tw"] = endings_of(bare or "", source)
-    if p and last and not (t and out["text_known"]) and p.strip() and p.rstrip()[-1] not in _TERMINAL:
-        out["url_open"] = True
+    out["url_same"] = bool(t and last and out["text_known"])
+    if p and last and p.strip() and p.rstrip()[-1] not in _TERMINAL:
         out["uk"], out["us"], out["uc"], out["uw"] = endings_of(p, source)
+    if out["uk"] is not None and not out["url_same"]:
+        out["url_open"] = True
         last_word = re.split(r"\s", p.rstrip())[-1].lower()
         if source and len(last_word) > 3 and "." in last_word and source != last_word and source.startswith(last_word):
             out["url_cut"] = True
     return out
 
 
-_FEATURES = "text_cut boolean, text_open boolean, text_known boolean, url_cut boolean, url_open boolean, tk string, ts string, tc string, tw string, uk string, us string, uc string, uw string"
+_FEATURES = "text_cut boolean, text_open boolean, text_known boolean, url_cut boolean, url_open boolean, url_same boolean, url_whole boolean, tk string, ts string, tc string, tw string, uk string, us string, uc string, uw string"
 
 
 def _closed(stats: DataFrame, rows: DataFrame, key: str, out: str) -> DataFrame:
@@ -197,6 +202,33 @@ def _closed(stats: DataFrame, rows: DataFrame, key: str, out: str) -> DataFrame:
     return rows.join(s, key, "left")
 
 
+def _address_limits(seen: DataFrame, limits: DataFrame) -> DataFrame:
+    """``seen`` with ``text_at`` and ``url_at`` (the strongest exposed limit of each value, or null) and ``own``.
+
+    ``own`` is true for an address whose length alone tells that it was cut: nothing in
+    it shows its end, and so it is for at least ``SPIKE_ROWS`` different addresses of
+    its source at this limit, so neither copies of one address nor whole ones make the
+    spike. An address with the prompt of a text at a limit that holds as many values is
+    whole: there the text was shortened first.
+    """
+    per = limits.withColumnRenamed("source", "_src").groupBy("_src").agg(
+        *[F.collect_list(F.when(F.col("field_name") == f, F.struct(F.col("n_values").alias("n"), F.col("limit_len").alias("len"), "measure"))).alias(k) for f, k in zip(FIELDS, ("_lt", "_lu"))]
+    )
+
+    def strongest(field: str, known: str) -> Column:
+        m = measures(F.col(field))
+        lens = F.map_from_arrays(F.array(*[F.lit(k) for k in m]), F.array(*m.values()))
+        return F.when(is_text(F.col(field)) & (F.size(known) > 0), F.array_max(F.filter(known, lambda x: lens[x["measure"]] == x["len"])))
+
+    at = seen.join(per, "_src", "left").withColumns({"text_at": strongest(FIELDS[0], "_lt"), "url_at": strongest(FIELDS[1], "_lu")}).drop("_lt", "_lu")
+    shortened = F.col("text_known") & F.coalesce(F.col("text_at.n") >= F.col("url_at.n"), F.lit(False))
+    asks = F.col("url_at").isNotNull() & ~F.col("url_whole") & ~shortened
+    at = at.withColumns({"_url": F.when(asks, F.xxhash64(FIELDS[1])), "_len": F.col("url_at.len"), **{f"_has_{f}": is_text(F.col(f)) for f in FIELDS}}).drop(*FIELDS)
+    at = staged(at, "limits")
+    sound = at.where("_url is not null").groupBy("_src", "_len").agg(F.count_distinct("_url").alias("_n")).where(F.col("_n") >= SPIKE_ROWS)
+    return at.join(sound, ["_src", "_len"], "left").withColumn("own", F.col("_url").isNotNull() & F.col("_n").isNotNull()).drop("_url", "_len", "_n")
+
+
 def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link_no") -> DataFrame:
     """(row_id, source, field_name, limit) of each value that lost its end.
 
@@ -205,8 +237,10 @@ def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link
     its ending is open and the corpus goes on after its last three words but hardly
     ever closes there, or knows its last word only as the start of longer ones; or (c)
     its length is an exposed limit of its source and nothing shows that it is whole.
-    An address whose prompt is shortened like the stored text is whole. Null, empty
-    and blank values are never cases; ``limit`` is true for lengths at a limit.
+    An address whose prompt is shortened like the stored text is whole, unless its own
+    length is such a limit: then the text was taken from the cut address and is a case
+    with it. See ``_address_limits`` for what such a limit must show. Null, empty and
+    blank values are never cases; ``limit`` is true for lengths at a limit.
     """
     base = df.select(F.col(row_id).alias("_id"), source_key(F.col(source)).alias("_src"), *[F.col(f) for f in FIELDS])
 
@@ -236,20 +270,16 @@ def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link
     stats = staged(stats, "endings")
     seen = staged(base.withColumn("_f", look(FIELDS[0], FIELDS[1], "_src")).select("*", "_f.*").drop("_f"), "looked")
 
+    seen = _address_limits(seen, exposed_limits(df, source))
+
     # One long table of open endings, so each statistic is joined once.
     both = F.array(
-        F.struct(F.lit(FIELDS[0]).alias("field_name"), F.col("text_cut").alias("cut"), F.col("text_open").alias("open"), F.col("text_known").alias("known"), F.col("tk").alias("lk"), F.col("ts").alias("sk"), F.col("tc").alias("ctx"), F.col("tw").alias("word"), F.col(FIELDS[0]).alias("v")),
-        F.struct(F.lit(FIELDS[1]).alias("field_name"), F.col("url_cut").alias("cut"), F.col("url_open").alias("open"), (~F.col("url_open")).alias("known"), F.col("uk").alias("lk"), F.col("us").alias("sk"), F.col("uc").alias("ctx"), F.col("uw").alias("word"), F.col(FIELDS[1]).alias("v")),
+        F.struct(F.lit(FIELDS[0]).alias("field_name"), F.col("text_cut").alias("cut"), F.col("text_open").alias("open"), F.col("text_known").alias("known"), (F.col("own") & F.col("url_same") & F.col("text_open")).alias("own"), F.col("text_at").isNotNull().alias("limit"), F.col("tk").alias("lk"), F.col("ts").alias("sk"), F.col("tc").alias("ctx"), F.col("tw").alias("word"), F.col(f"_has_{FIELDS[0]}").alias("has")),
+        F.struct(F.lit(FIELDS[1]).alias("field_name"), F.col("url_cut").alias("cut"), F.col("url_open").alias("open"), (~F.col("url_open")).alias("known"), F.col("own"), F.col("url_at").isNotNull().alias("limit"), F.col("uk").alias("lk"), F.col("us").alias("sk"), F.col("uc").alias("ctx"), F.col("uw").alias("word"), F.col(f"_has_{FIELDS[1]}").alias("has")),
     )
-    values = seen.select("_id", "_src", F.explode(both).alias("x")).select("_id", "_src", "x.*").where(is_text(F.col("v")))
-
-    # Lengths at an exposed limit of the source.
-    limits = exposed_limits(df, source).groupBy("field_name", F.col("source").alias("_src")).agg(F.collect_list(F.struct("measure", "limit_len")).alias("limits"))
-    m = measures(F.col("v"))
-    lens = F.map_from_arrays(F.array(*[F.lit(k) for k in m]), F.array(*m.values()))
-    at = values.join(limits, ["field_name", "_src"], "left").withColumn("limit", F.when(F.col("limits").isNotNull(), F.exists("limits", lambda x: lens[x["measure"]] == x["limit_len"])).otherwise(F.lit(False))).drop("limits", "v")
+    at = seen.select("_id", "_src", F.explode(both).alias("x")).select("_id", "_src", "x.*").where("has").drop("has")
 
-    asked = at.where("open and not cut").select("_id", "_src", "field_name", "lk", "sk", "ctx", "word")
+    asked = at.where("(open or own) and not cut and lk is not null").select("_id", "_src", "field_name", "lk", "sk", "ctx", "word")
     keyed = _closed(stats, _closed(stats, asked, "lk", "lit"), "sk", "shp")
     # Each distinct ending once: a hot ending would otherwise meet all followers of its context in every row.
     stems = asked.where("word <> ''").select("ctx", "word", "_src").distinct()
@@ -274,7 +304,7 @@ def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link
     judged = said.select("_id", "field_name", verdict.alias("verdict"))
     final = at.join(judged, ["_id", "field_name"], "left")
     undecided = F.coalesce(F.col("verdict"), F.lit("unknown")) == "unknown"
-    case = F.col("cut") | (F.col("verdict") == "cut") | (F.col("limit") & undecided & ~F.col("known"))
+    case = F.col("cut") | (F.col("verdict") == "cut") | (undecided & (F.col("limit") & ~F.col("known") | F.col("own")))
     return final.where(F.coalesce(case, F.lit(False))).select(F.col("_id").alias(row_id), F.col("_src").alias("source"), "field_name", "limit")
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from urllib.parse import quote
 
 import pytest
@@ -86,3 +87,35 @@ def test_measures(spark):
     assert got["code_points"] == len(t) and got["utf8_bytes"] == len(t.encode()) and got["utf16_units"] == len(t.encode("utf-16-le")) // 2
     assert got["json_escaped"] == len(json.dumps(t)) - 2 and got["json_utf8_bytes"] == len(json.dumps(t, ensure_ascii=False).encode()) - 2
     assert got["html_escaped"] == len(html.escape(t)) + 1 and got["crlf"] == len(t.replace("\n", "\r\n"))  # the quote sign is written &#39;.. there
+
+
+def _at_length(n, length, tail="", stop=False):
+    """Addresses of one length with prompts of their own, cut there unless ``stop``."""
+    rnd, out = random.Random(7), []
+    while len(out) < n:
+        words = "é" * rnd.randint(0, 9) + " " + " ".join("".join(rnd.choices("bcdfgklmnprst", k=rnd.randint(3, 8))) for _ in range(60))
+        if stop:
+            fit = [t for k in range(20, len(words)) if len(url(t := words[:k] + ".", tail)) == length]
+            out += fit[:1]
+        else:
+            whole = url(words)
+            u = whole[: length - len(tail)] + tail
+            if re.search(r"%[0-9A-F]?$", whole[: length - len(tail)]) is None:
+                out.append(u)
+    return out
+
+
+def test_limit_of_the_address_shows_in_the_text_taken_from_it(spark):
+    """The stored text equals the prompt of the cut address; the length alone tells."""
+    prompts = lambda us: [(u, T.prompt_of(u)[0]) for u in us]
+    cut, tailed, whole = _at_length(9, 256), _at_length(9, 300, "&ref=1a|2"), _at_length(9, 320, stop=True)
+    copied = _at_length(1, 280) * 9
+    rows = [(100 * k + i, f"l{k}.example", u, t, None, None) for k, us in enumerate([cut, tailed, whole, copied], 1) for i, (u, t) in enumerate(prompts(us))]
+    # Here the texts were shortened first: all addresses have one length because only spaces are written otherwise.
+    rnd = random.Random(3)
+    short = ["".join(rnd.choices("bcdfgklm", k=90)) for _ in range(9)]
+    rows += [(500 + i, "l5.example", url(t), t, None, None) for i, t in enumerate(short)]
+    got = found(spark, rows)
+    assert {c for c in got if c[0] < 200} == {(100 + i, f) for i in range(9) for f in T.FIELDS}
+    assert {c[0] for c in got if c[1] == "target_url" and c[0] >= 200} == {200 + i for i in range(9)}
+    assert not [c for c in got if c[0] >= 300 and c[1] == "target_url"]
