@@ -281,8 +281,8 @@ def relabelled(links: DataFrame, seeds: DataFrame, bound: int = SAMPLE_BOUND) ->
     ``is_case``: the text mixes languages, or its label is missing or names another.
     """
     texts = links.select("row_id", F.col("primary_prompt_text").alias("text"), "prompt_lang").where(is_text(F.col("text")))
-    garbled = mojibake.fit_from(texts, "text", ["row_id"], mojibake.SAMPLE_BOUND)
-    model = fit_from(texts, "text", "prompt_lang", ["row_id"], seeds, bound, garbled)
-    found = segmented(texts, "text", model).where(F.size("segments") > 0)
+    model = fit_from(texts, "text", "prompt_lang", ["row_id"], seeds, bound)
+    fixed = mojibake.repaired(texts, "text", ["row_id"]).withColumn("text", F.coalesce(F.when(F.col("restored_text") != "", F.col("restored_text")), "text")).drop("garble_chain", "restored_text")
+    found = segmented(fixed, "text", model).where(F.size("segments") > 0)
     right = (F.size("segments") == 1) & F.coalesce(label_language(F.col("prompt_lang")) == F.col("segments")[0]["lang"], F.lit(False))
     return found.select("row_id", (~right).alias("is_case"), F.explode("segments").alias("s")).select("row_id", "s.*", "is_case")

@@ -15,7 +15,7 @@ import re
 import string
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkprism.llm.common import bounded_sample
+from linkprism.runtime import staged
 
 #: (true encoding, wrong encoding, times): text stored as the first was read as the second.
 _UTF8_READ_AS = ["cp1252", "latin-1", "cp1250", "iso8859-2", "iso8859-15", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "cp866"]
@@ -80,6 +81,15 @@ def _tables() -> tuple[dict[str, str], dict[str, object]]:
 _READ, _WRITE = _tables()
 
 
+def _spaced(text: str) -> str:
+    return text.replace("\u00c3  ", "\u00c3\u00a0 ")  # the second byte of a garbled à, since turned into a plain space
+
+
+def _words(text: str) -> list[str]:
+    """Words as ``GarbleModel.known`` looks them up; tokens with symbols count as a whole too."""
+    return [w for tok in text.split() for w in (_WORD.findall(tok.lower()) + [_core(tok)] * bool(_SYMBOL.search(tok)))]
+
+
 def _core(token: str) -> str:
     return token.lower().strip(string.punctuation)
 
@@ -121,7 +131,8 @@ def _bigrams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class GarbleModel:
     """Log probabilities, one row per hashed bigram; column 0 is clean, then the chains.
 
-    ``words`` counts the words of the bounded training sample.
+    ``words`` counts words: those of the training sample after ``fit``, those of all
+    texts where ``repaired`` decides.
     """
 
     logp: np.ndarray
@@ -148,6 +159,23 @@ class GarbleModel:
         whole = math.log(self.words.get(_core(token), 0) + 0.5)
         return min(mean, whole) if words else whole
 
+    def tries(self, tokens: list[str]) -> list[tuple[int, int, float, str]]:
+        """(token number, chain, log odds, restored) where the classifier prefers a chain and its inverse decodes."""
+        tried = []
+        for i, (tok, row) in enumerate(zip(tokens, self.scores(tokens))):
+            for c in np.flatnonzero(row[1:] > row[0] + self.token_margin):
+                back = restore(tok, self.chains[c])
+                if back is not None and back != tok and not any(x in "\ufffd\u2028\u2029" or ord(x) < 32 or 0x7F <= ord(x) < 0xA0 for x in back):
+                    tried.append((i, int(c), float(row[c + 1] - row[0]), back))
+        return tried
+
+    def asks(self, tokens: list[str]) -> list[list[str]]:
+        """Per token the words whose counts ``gains`` looks up."""
+        out: list[dict[str, None]] = [{} for _ in tokens]
+        for i, _, _, back in self.tries(tokens):
+            out[i].update(dict.fromkeys(w for t in (tokens[i], back) for w in (*_WORD.findall(t.lower()), _core(t))))
+        return [list(x) for x in out]
+
     def gains(self, tokens: list[str]) -> list[list[tuple[int, float, str]]]:
         """Per token the (chain, gain, restored) that explain it better than clean text does.
 
@@ -156,14 +184,8 @@ class GarbleModel:
         chain that maps letters one to one always decodes, so there the gain is 0 unless
         the restored words are clearly better known and no letter turns into a symbol.
         """
-        s = self.scores(tokens)
         found: list[list[tuple[int, float, str]]] = [[] for _ in tokens]
-        tried = []
-        for i, (tok, row) in enumerate(zip(tokens, s)):
-            for c in np.flatnonzero(row[1:] > row[0] + self.token_margin):
-                back = restore(tok, self.chains[c])
-                if back is not None and back != tok and not any(x in "\ufffd\u2028\u2029" or ord(x) < 32 or 0x7F <= ord(x) < 0xA0 for x in back):
-                    tried.append((i, int(c), float(row[c + 1] - row[0]), back))
+        tried = self.tries(tokens)
         if not tried:
             return found
         clean, here = self.clean_mean([b for *_, b in tried]), self.clean_mean(tokens)
@@ -200,7 +222,7 @@ class GarbleModel:
         A text with replacement characters is garbled beyond repair: ('lossy', null).
         """
         cache = {} if cache is None else cache
-        text = text.replace("\u00c3  ", "\u00c3\u00a0 ")  # the second byte of a garbled à, since turned into a plain space
+        text = _spaced(text)
         total: dict[int, float] = {}
         back: dict[int, dict[str, str]] = {}
         tokens = _TOKEN.findall(text)
@@ -231,7 +253,7 @@ def fit(texts: list[str], rounds: int = 2, alpha: float = 0.02) -> GarbleModel:
             cache: dict[str, list] = {}
             kept = [t for t in texts if model.decide(t, cache)[0] is None]
         tokens = Counter(tok for t in kept for tok in _TOKEN.findall(t) if "\ufffd" not in tok)
-        words = Counter(w for t in kept for tok in t.split() for w in (_WORD.findall(tok.lower()) + [_core(tok)] * bool(_SYMBOL.search(tok))))
+        words = Counter(w for t in kept for w in _words(t))
         names, weights = list(tokens), np.fromiter(tokens.values(), dtype=np.float64, count=len(tokens))
         counts = np.zeros((BINS, len(CHAINS) + 1))
         for c, chain in enumerate([None, *CHAINS]):
@@ -251,24 +273,70 @@ def fit_from(df: DataFrame, column: str, keys: list[str], bound: int = SAMPLE_BO
     return fit(sorted({r[0] for r in bounded_sample(pool, keys, bound).select("_t").collect()}))
 
 
-def repaired(df: DataFrame, text: str, model: GarbleModel) -> DataFrame:
+def repaired(df: DataFrame, text: str, keys: list[str], bound: int = SAMPLE_BOUND) -> DataFrame:
     """``df`` with ``garble_chain`` and ``restored_text``; both null for clean, ASCII, blank or null text.
 
-    Only texts with a non-ASCII character leave the JVM. ``restored_text`` is null if
-    characters were lost ('lossy' or a replacement character).
+    The classifier is fitted on at most ``bound`` rows; the word counts run over all
+    non-ASCII rows (among distinct texts a short one and its garbled form would count
+    alike) but those that it surely finds garbled, and are joined to the texts that ask
+    for them. ``restored_text`` is null if characters were lost ('lossy' or a
+    replacement character).
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BINS x chains floats, whatever the corpus
+    c = F.col(text)
+    distinct = staged(df.where(c.rlike(r"[^\x00-\x7f]")).groupBy(c.alias("__lp_t")).agg(F.count(F.lit(1)).alias("__lp_n")), "texts")
+    model = fit_from(df, text, keys, bound)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BINS x chains floats and the sample's words, whatever the corpus
 
-    @F.pandas_udf("struct<chain:string,restored:string>")
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, cache = shared.value, {}
+    @F.pandas_udf("struct<counts:boolean,asks:array<string>>")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m, cache, asks = shared.value, {}, {}
         for s in batches:
-            if len(cache) > 200_000:
+            if len(cache) > 200_000 or len(asks) > 200_000:
                 cache.clear()
-            yield pd.DataFrame([m.decide(t, cache) if t else (None, None) for t in s], columns=["chain", "restored"], dtype=object)
+                asks.clear()
+            rows = []
+            for t in s:
+                tokens = list(dict.fromkeys(_TOKEN.findall(_spaced(t))))
+                if new := [x for x in tokens if x not in asks]:
+                    asks.update(zip(new, m.asks(new)))
+                chain, back = m.decide(t, cache)
+                # A one-to-one chain takes a text out of the count only where the sample holds the restored words more than twice.
+                sure = chain is not None and (chain.split(">")[0] in ("lossy", *_MULTIBYTE) or back is None or all(m.known(w) > math.log(3) for w in {*back.split()} - {*t.split()}))
+                rows.append((not sure, list(dict.fromkeys(w for x in tokens for w in asks[x]))))
+            yield pd.DataFrame(rows, columns=["counts", "asks"])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            total: Counter[str] = Counter()
+            for t, n in zip(pdf["__lp_t"], pdf["__lp_n"]):
+                for w in _words(t):
+                    total[w] += int(n)
+            yield pd.DataFrame(list(total.items()), columns=["word", "n"])
 
-    c = F.col(text)
-    return df.withColumn("__lp_j", judge(F.when(c.rlike(r"[^\x00-\x7f]"), c))).withColumns({"garble_chain": F.col("__lp_j.chain"), "restored_text": F.col("__lp_j.restored")}).drop("__lp_j")
+    @F.pandas_udf("struct<chain:string,restored:string>")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        m, cache = replace(shared.value, words={}), {}
+        for s, counts in batches:
+            if len(cache) > 200_000 or len(m.words) > 200_000:
+                cache.clear()
+                m.words.clear()
+            rows = []
+            for t, known in zip(s, counts):
+                if known is not None:
+                    m.words.update((x["word"], x["n"]) for x in known)
+                rows.append(m.decide(t, cache))
+            yield pd.DataFrame(rows, columns=["chain", "restored"], dtype=object)
+
+    looked = staged(distinct.withColumn("_l", look("__lp_t")).select("__lp_t", "__lp_n", F.sha2("__lp_t", 256).alias("__lp_id"), "_l.*"), "asked")
+    counts = looked.where("counts").select("__lp_t", "__lp_n").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    asked = looked.where(F.size("asks") > 0)
+    known = asked.select("__lp_id", F.explode("asks").alias("word")).join(counts, "word").groupBy("__lp_id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    judged = asked.select("__lp_id", "__lp_t").join(known, "__lp_id", "left").select("__lp_id", judge("__lp_t", "known").alias("__lp_j"))
+    judged = staged(judged.where("__lp_j.chain is not null"), "garbled")
+    # Texts without a candidate are clean but for lost characters.
+    lossy = F.when(c.contains("\ufffd"), F.lit("lossy"))
+    rows = df.withColumn("__lp_id", F.when(c.rlike(r"[^\x00-\x7f]"), F.sha2(c, 256))).join(judged, "__lp_id", "left")
+    return rows.withColumns({"garble_chain": F.coalesce("__lp_j.chain", lossy), "restored_text": F.col("__lp_j.restored")}).drop("__lp_j", "__lp_id")
 
 
 def all_texts(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -280,5 +348,4 @@ def all_texts(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def garbled_records(links: DataFrame, pages: DataFrame, bound: int = SAMPLE_BOUND) -> DataFrame:
-    texts = all_texts(links, pages)
-    return repaired(texts, "text", fit_from(texts, "text", ["table_name", "record_id", "link_pos"], bound)).where(F.col("garble_chain").isNotNull())
+    return repaired(all_texts(links, pages), "text", ["table_name", "record_id", "link_pos"], bound).where(F.col("garble_chain").isNotNull())

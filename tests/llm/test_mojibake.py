@@ -58,3 +58,15 @@ def test_tables(spark):
     got = {(r["table_name"], r["record_id"], r["link_pos"]): r["restored_text"] for r in M.garbled_records(links, pages).collect()}
     assert got == {("sample_classified_prompt_links", 1, 0): CLEAN[1], ("demo_pages", 1, 2): CLEAN[2]}
     assert M.garbled_records(links.limit(0), pages.limit(0)).count() == 0
+
+
+def test_words_outside_the_training_sample_count(spark):
+    """One-to-one chains need the counts of rare words, which a small sample does not hold."""
+    word = lambda i: "".join("бвгджзклмнпрстфхцчш"[(i * k) % 19] + "аеиоуыэюя"[(i + k) % 9] for k in (3, 5, 7, 11))
+    clean = [f"{word(i)} {word(i + 1)} {word(i + 2)} {word(i + 3)} {CLEAN[5]} {n}" for i in range(0, 200, 4) for n in range(8)]
+    rows = [(i, t) for i, t in enumerate(clean)]
+    rows += [(10_000 + i, M.garble(f"{word(i)} {word(i + 1)} {word(i + 2)} {word(i + 3)}", ("cp1251", "cp1252", 1))) for i in range(0, 200, 4)]
+    links = spark.createDataFrame(rows, "row_id long, primary_prompt_text string")
+    pages = spark.createDataFrame([], "page_id long, links array<struct<text:string>>")
+    got = {r["record_id"]: r["restored_text"] for r in M.garbled_records(links, pages, 40).collect()}
+    assert got == {10_000 + i: f"{word(i)} {word(i + 1)} {word(i + 2)} {word(i + 3)}" for i in range(0, 200, 4)}
