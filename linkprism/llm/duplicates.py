@@ -3,12 +3,14 @@
 Method: recursive radix partitioning on canonical bytes. Every row gets a canonical
 string; equal strings are merged within each input task first, so a hot group shrinks
 to one entry a task. Buckets are the strings' leading characters; a bucket too large
-for one task is split by further characters until each fits. Each bucket is then
-counted in a path-compressed trie with terminal counters.
+for one task is split by twice as many characters, again and again until each fits or
+holds one string only. Each bucket is then counted in a path-compressed trie with
+terminal counters.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -23,10 +25,10 @@ from linkprism.runtime import staged
 IGNORED = r"[\s\p{Z}\p{P}\x{85}\x{1c}-\x{1f}$+<=>^`|~]+"
 #: Canonical characters that one bucket may hold.
 FIT_CHARS = 32_000_000
-#: Depths at which buckets are split.
-DEPTHS = (2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096)
-#: At most this many buckets are split at one depth, since each holds more than this part of the input.
-MOST_SPLIT = 4096
+#: Characters of the first buckets; each split doubles them.
+FIRST_DEPTH = 2
+#: Prefixes of split buckets are broadcast up to this number (8 bytes each), beyond it joined by a shuffle.
+BROADCAST_PREFIXES = 1_000_000
 #: Groups of this share of all rows are handed out by broadcast; there are at most 1 / share of them.
 HOT_SHARE = 0.001
 _SEP = "\x01"
@@ -64,10 +66,9 @@ def canonical_url(c: Column) -> Column:
 
 
 def canonical_rows(df: DataFrame, row_id: str, text: str, url: str, scope: str) -> DataFrame:
-    """(row_id, digest, canon); rows without text are left out, null addresses and scopes count as empty."""
+    """(row_id, canon); rows without text are left out, null addresses and scopes count as empty."""
     canon = F.concat_ws(_SEP, canonical_text(F.col(text)), F.coalesce(canonical_url(F.col(url)), F.lit("")), F.coalesce(F.col(scope), F.lit("")))
-    rows = df.where(is_text(F.col(text))).select(F.col(row_id).alias("row_id"), canon.alias("canon"))
-    return rows.select("row_id", F.unhex(F.sha2(F.col("canon").cast("binary"), 256)).alias("digest"), "canon")
+    return df.where(is_text(F.col(text))).select(F.col(row_id).alias("row_id"), canon.alias("canon"))
 
 
 class Trie:
@@ -109,33 +110,32 @@ class Trie:
             stack.extend(e[1] for e in node[1].values())
 
 
-_COMBINED = "canon string, digest binary, n long, first_row_id long"
+_COMBINED = "canon string, digest binary, ids array<long>"
 _GROUPS = "digest binary, n_copies long, first_row_id long"
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge equal strings of one task, a bounded number of them at a time."""
-    held: dict[bytes, list] = {}
+    """Merge equal strings of one task, a bounded number of them at a time; every row id stays."""
+    held: dict[str, list[int]] = {}
 
     def flush() -> pa.RecordBatch:
-        rows = list(held.values())
+        digests = [hashlib.sha256(k.encode()).digest() for k in held]
         out = pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array(list(held), pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
-            names=["canon", "digest", "n", "first_row_id"],
+            [pa.array(list(held), pa.string()), pa.array(digests, pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["canon", "digest", "ids"]
         )
         held.clear()
         return out
 
     size = 0
     for b in batches:
-        for row, digest, canon in zip(b.column("row_id").to_pylist(), b.column("digest").to_pylist(), b.column("canon").to_pylist()):
-            x = held.get(digest)
-            if x is None:
-                held[digest] = [canon, 1, row]
+        for row, canon in zip(b.column("row_id").to_pylist(), b.column("canon").to_pylist()):
+            ids = held.get(canon)
+            if ids is None:
+                held[canon] = [row]
                 size += len(canon)
             else:
-                x[1] += 1
-                x[2] = min(x[2], row)
+                ids.append(row)
+            size += 8
         if size > FIT_CHARS:
             yield flush()
             size = 0
@@ -169,33 +169,56 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(trie)
 
 
-def radix_bucket(combined: DataFrame, fit: int = FIT_CHARS) -> Column:
-    """The bucket expression: the shortest prefix, at one of ``DEPTHS``, whose strings fit."""
-    total = combined.agg(F.sum(F.length("canon"))).first()[0] or 0
-    fit = max(fit, -(-total // MOST_SPLIT))
-    levels: list[list[str]] = []
-    if total > fit:
-        live = combined.select("canon")
-        for d, deeper in zip(DEPTHS, DEPTHS[1:]):
-            prefix = F.substring("canon", 1, d)
-            sizes = live.groupBy(prefix.alias("p")).agg(F.sum(F.length("canon")).alias("s"), F.max(F.length("canon")).alias("l"))
-            over = [r["p"] for r in sizes.where((F.col("s") > fit) & (F.col("l") > d)).collect()]  # at most total / fit
-            if not over:
-                break
-            levels.append(over)
-            live = live.where(prefix.isin(over))
-    bucket = F.substring("canon", 1, DEPTHS[len(levels)]) if levels else F.substring("canon", 1, DEPTHS[0])
-    for d, over in reversed(list(zip(DEPTHS, levels))):
-        p = F.substring("canon", 1, d)
-        bucket = F.when(p.isin(over), bucket).otherwise(p)
-    return bucket
+def _prefix(depth: int) -> Column:
+    return F.xxhash64(F.substring("canon", 1, depth))
+
 
+def split_prefixes(combined: DataFrame, fit: int = FIT_CHARS) -> list[tuple[int, DataFrame, int]]:
+    """(depth, hashed prefixes, their number) of the buckets that were split, level by level.
 
-def copy_groups(rows: DataFrame, fit: int = FIT_CHARS) -> DataFrame:
-    """(digest, n_copies, first_row_id) of each distinct canonical string; ``rows`` from ``canonical_rows``."""
-    combined = staged(rows.select("row_id", "digest", "canon").mapInArrow(_combine, _COMBINED), "combined")
-    bucketed = combined.withColumn("bucket", radix_bucket(combined, fit))
-    return bucketed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, _GROUPS)
+    A bucket is split while its strings hold more than ``fit`` characters and differ;
+    so the recursion ends where a bucket fits or holds equal strings only, at whatever
+    depth that is. The prefixes stay a distributed table. Prefixes with one hash count
+    as one bucket, which at most splits it early.
+    """
+    levels: list[tuple[int, DataFrame, int]] = []
+    live, depth = combined, FIRST_DEPTH
+    while True:
+        whole = F.xxhash64("canon")
+        sizes = live.groupBy(_prefix(depth).alias("_h")).agg(F.sum(F.length("canon")).alias("s"), F.min(whole).alias("a"), F.max(whole).alias("z"))
+        over = staged(sizes.where((F.col("s") > fit) & (F.col("a") != F.col("z"))).select("_h"), "split")
+        n = over.count()
+        if n == 0:
+            return levels
+        levels.append((depth, over, n))
+        live = combined.withColumn("_h", _prefix(depth)).join(_sized(over, n), "_h", "left_semi").drop("_h")
+        depth *= 2
+
+
+def _sized(prefixes: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(prefixes) if n <= BROADCAST_PREFIXES else prefixes
+
+
+def bucketed(combined: DataFrame, fit: int = FIT_CHARS) -> DataFrame:
+    """``combined`` with ``bucket``: the hash of the shortest prefix, of a length in the doubling row, that was not split."""
+    levels = split_prefixes(combined, fit)
+    out, open_ = combined, F.lit(True)
+    bucket = None
+    for depth, over, n in levels:
+        name = f"_s{depth}"
+        out = out.withColumn("_h", _prefix(depth)).join(_sized(over.withColumn(name, F.lit(True)), n), "_h", "left").drop("_h")
+        done = open_ & F.col(name).isNull()
+        bucket = F.when(done, _prefix(depth)) if bucket is None else bucket.when(done, _prefix(depth))
+        open_ = open_ & F.col(name).isNotNull()
+    last = _prefix(levels[-1][0] * 2 if levels else FIRST_DEPTH)
+    bucket = last if bucket is None else bucket.otherwise(last)
+    return out.withColumn("bucket", bucket).drop(*[f"_s{depth}" for depth, *_ in levels])
+
+
+def copy_groups(combined: DataFrame, fit: int = FIT_CHARS) -> DataFrame:
+    """(digest, n_copies, first_row_id) of each distinct canonical string of (canon, digest, ids)."""
+    merged = combined.select("canon", "digest", F.size("ids").cast("long").alias("n"), F.array_min("ids").alias("first_row_id"))
+    return bucketed(merged, fit).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, _GROUPS)
 
 
 def copies(df: DataFrame, row_id: str = "row_id", text: str = "primary_prompt_text", url: str = "target_url", scope: str = "crawl", fit: int = FIT_CHARS) -> tuple[DataFrame, DataFrame]:
@@ -206,14 +229,14 @@ def copies(df: DataFrame, row_id: str = "row_id", text: str = "primary_prompt_te
     unique. Members of groups with at least ``HOT_SHARE`` of all rows are found by a
     broadcast of those groups, so no task gathers a hot group.
     """
-    rows = staged(canonical_rows(df, row_id, text, url, scope), "canonical")
-    groups = staged(copy_groups(rows, fit), "groups")
+    combined = staged(canonical_rows(df, row_id, text, url, scope).mapInArrow(_combine, _COMBINED), "combined")
+    groups = staged(copy_groups(combined, fit), "groups")
     total = groups.agg(F.sum("n_copies")).first()[0] or 0
     least = max(10_000, int(total * HOT_SHARE))
     many = groups.where("n_copies > 1").select("digest", "n_copies", "first_row_id")
     hot = F.broadcast(many.where(F.col("n_copies") >= least))  # at most 1 / HOT_SHARE rows
     cold = many.where(F.col("n_copies") < least)
-    ids = rows.select("digest", "row_id")
+    ids = combined.select("digest", F.explode("ids").alias("row_id"))
     found = ids.join(hot, "digest").unionByName(ids.join(hot, "digest", "left_anti").join(cold, "digest"))
     members = found.where(F.col("row_id") != F.col("first_row_id")).select("first_row_id", "row_id")
     return groups.select("first_row_id", "n_copies"), members

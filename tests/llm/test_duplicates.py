@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from linkprism.llm import duplicates as D
 
@@ -51,3 +52,33 @@ def test_different_records_stay_apart(spark):
 def test_empty(spark):
     groups, members = D.copies(spark.createDataFrame([], SCHEMA))
     assert groups.count() == members.count() == 0
+
+
+def test_more_than_4096_buckets_split_against_brute_force(spark):
+    rnd = random.Random(9)
+    stems = ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(6000)]
+    rows = [(i, "c", stems[i % 6000] + rnd.choice(["xx", "yy", "zz"]), "h", None) for i in range(24_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    combined = D.canonical_rows(df, "row_id", "primary_prompt_text", "target_url", "crawl").mapInArrow(D._combine, D._COMBINED).cache()
+    levels = D.split_prefixes(combined, 20)
+    assert sum(n for *_, n in levels) > 4096 and max(n for *_, n in levels) > 4096
+    assert D.bucketed(combined, 20).groupBy("bucket").agg(F.countDistinct("canon").alias("n"), F.sum(F.length("canon")).alias("s")).where("n > 1 and s > 20").count() == 0
+    groups, members = D.copies(df, fit=20)
+    want = defaultdict(list)
+    for i, _, t, *_ in rows:
+        want[t].append(i)
+    assert {r["first_row_id"]: r["n_copies"] for r in groups.collect()} == {min(v): len(v) for v in want.values()}
+    assert {tuple(r) for r in members.collect()} == {(min(v), x) for v in want.values() for x in v if x != min(v)}
+
+
+def test_long_shared_beginnings_are_split_at_any_depth(spark):
+    rows = [(i, "c", "a" * 9000 + str(i % 3), "h", None) for i in range(12)]
+    combined = D.canonical_rows(spark.createDataFrame(rows, SCHEMA), "row_id", "primary_prompt_text", "target_url", "crawl").mapInArrow(D._combine, D._COMBINED)
+    assert D.bucketed(combined, 20_000).select("bucket").distinct().count() == 3
+
+
+def test_prefixes_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(D, "BROADCAST_PREFIXES", 0)
+    rows = [(i, "c", f"text number {i % 7}", "h", None) for i in range(60)]
+    groups, _ = D.copies(spark.createDataFrame(rows, SCHEMA), fit=10)
+    assert sorted(r["n_copies"] for r in groups.collect()) == [8, 8, 8, 9, 9, 9, 9]
