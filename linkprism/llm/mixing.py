@@ -1,13 +1,15 @@
 """Mixing sources to target shares of tokens (problem 9).
 
 Method: soft-membership mixing. A classifier trained on the labelled documents gives
-documents without a source a posterior over the sources; labelled documents belong to
-theirs. A projected-gradient least-squares fit finds nonnegative rates, capped by the
-sources' repeats, whose expected token totals match the targets. Each step is one
-distributed sum; the rate of a document is replayed from the short history of
-residuals, so no state of the size of the corpus is kept. Rates become whole copies
-by exact selection: in hash order, documents get the extra copy until the source's
-token budget is used, the threshold being found by refining histograms.
+every document a posterior over the sources; a label is strong but not certain
+evidence and is weighed with it by Bayes' rule. A distributed projected-gradient
+least-squares fit finds nonnegative document rates, capped by the sources' repeats,
+whose expected token totals match the targets. Each step is one distributed sum over
+the documents' memberships; the rate of a document is replayed from the short history
+of residuals, so no state beside the memberships is kept. Rates become whole copies by
+exact selection: a document's hash over the fractional part of its rate orders the
+documents of a source, and the first ones get one more copy until the source's tokens
+are met, the threshold being found by refining histograms.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,9 +32,13 @@ from linkprism.runtime import staged
 SAMPLE_BOUND = 10_000
 BINS = 1 << 16
 STEPS = 40
-TOLERANCE = 1e-6
-#: Unlabelled documents take part if the classifier is this sure of their most likely source.
-SURE = 0.9
+TOLERANCE = 1e-4
+#: Share of the largest possible total that is mixed: with no slack the scarcest source stays at its cap and the fit creeps.
+FILL = 0.999
+#: Likelihood that a label names another source than the document's.
+LABEL_ERROR = 0.0001
+#: Selection keys: hashes of so many bits, over the rate's fraction, below so many bits.
+HASH_BITS, KEY_BITS = 50, 60
 _WORD = re.compile(r"[^\W_]+|\n+|[<>/=:\[\]{}]")
 
 
@@ -42,9 +50,8 @@ def _features(text: str) -> np.ndarray:
     return np.fromiter({hash_word(w) for w in _WORD.findall(text.lower())}, dtype=np.int64)
 
 
+@lru_cache(maxsize=1 << 18)
 def hash_word(w: str) -> int:
-    import xxhash
-
     return xxhash.xxh32_intdigest(w) % BINS
 
 
@@ -65,27 +72,40 @@ class SourceModel:
 def fit_sources(rows: list[tuple[str, int]], n: int) -> SourceModel:
     """Multinomial on hashed words; the heat that softens posteriors is chosen on a held-out fifth."""
     m, prior = np.full((BINS, n), 0.1), np.ones(n)
-    held = rows[::5]
     feats = [(_features(t), k) for t, k in rows]
     for i, (f, k) in enumerate(feats):
         if i % 5:
             m[f, k] += 1
             prior[k] += 1
-    logp = np.log(m / m.sum(axis=0))
+    logp, prior = np.log(m / m.sum(axis=0)), np.log(prior / prior.sum())
+    held = [(logp[f].sum(axis=0), k) for f, k in feats[::5]]
+    raw, own = np.array([s for s, _ in held]).reshape(-1, n), np.array([k for _, k in held], dtype=int)
     best, chosen = -np.inf, 1.0
     for heat in (1, 2, 4, 8, 16, 32, 64, 128):
-        model = SourceModel(logp, np.log(prior / prior.sum()), heat)
-        fit = sum(np.log(model.posterior(t)[k] + 1e-12) for t, k in held)
+        s = prior + raw / heat
+        s = s - s.max(axis=1, keepdims=True) if len(s) else s
+        fit = float((s[np.arange(len(own)), own] - np.log(np.exp(s).sum(axis=1))).sum())
         if fit > best:
-            best, chosen = fit, heat
-    return SourceModel(logp, np.log(prior / prior.sum()), float(chosen))
+            best, chosen = fit, float(heat)
+    return SourceModel(logp, prior, chosen)
+
+
+def with_label(p: np.ndarray, k: int | None, error: float = LABEL_ERROR) -> np.ndarray:
+    """The posterior after the label ``k``, which is wrong with likelihood ``error``; without a label it stays."""
+    if k is None:
+        return p
+    said = np.full(len(p), error / max(1, len(p) - 1))
+    said[k] = 1.0 - error
+    p = p * said
+    return p / p.sum()
 
 
 def sized(docs: DataFrame, sources: list[str], vocabulary: str = tokenize.VOCABULARY, bound: int = SAMPLE_BOUND) -> DataFrame:
-    """(doc_id, labelled, n_tokens, member array<double>): tokens and membership of every document.
+    """(doc_id, place int, n_tokens, member array<double>) of every document with tokens.
 
-    The classifier is fitted on at most ``bound`` labelled documents. Documents of a
-    source without target have no membership. Posteriors are rounded to thousandths.
+    ``place`` is the number of the labelled source, -1 without a label. The classifier
+    is fitted on at most ``bound`` labelled documents. Documents of a source without
+    target belong to no mixture and are left out.
     """
     d = docs.select("doc_id", "text", source_name(F.col("source")).alias("_s"))
     train = bounded_sample(d.where(F.col("_s").isin(sources) & F.col("text").isNotNull()), ["doc_id"], bound).select("text", "_s").collect()
@@ -93,18 +113,14 @@ def sized(docs: DataFrame, sources: list[str], vocabulary: str = tokenize.VOCABU
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS x sources
 
     @F.pandas_udf("array<double>")
-    def soft(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            out = []
-            for t in s:
-                p = shared.value.posterior(t) if t else np.zeros(len(sources))
-                out.append(list(np.round(p, 3)) if p.max() >= SURE else [0.0] * len(sources))
-            yield pd.Series(out, dtype=object)
+    def soft(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, places in batches:
+            yield pd.Series([list(with_label(shared.value.posterior(t), k if k >= 0 else None)) for t, k in zip(texts, places)], dtype=object)
 
-    hard = F.transform(F.array(*[F.lit(x) for x in sources]), lambda x: F.when(x == F.col("_s"), 1.0).otherwise(0.0))
-    counted = tokenize.counted(d, "text", vocabulary)
-    member = F.when(F.col("_s").isNull(), soft(F.when(F.col("_s").isNull(), F.col("text")))).otherwise(hard)
-    return counted.select("doc_id", F.col("_s").isNotNull().alias("labelled"), "n_tokens", member.alias("member"))
+    places = F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(s), F.lit(i))])
+    place = F.when(F.col("_s").isNull(), F.lit(-1)).otherwise(F.try_element_at(places, F.col("_s")))
+    known = tokenize.counted(d.withColumn("place", place).where("place is not null"), "text", vocabulary)
+    return known.select("doc_id", "place", "n_tokens", soft("text", "place").alias("member")).where("n_tokens > 0")
 
 
 def replay(member: np.ndarray, cap: np.ndarray, history: list[np.ndarray], start: float) -> np.ndarray:
@@ -115,104 +131,110 @@ def replay(member: np.ndarray, cap: np.ndarray, history: list[np.ndarray], start
     return r
 
 
-def fit_rates(groups: DataFrame, caps: np.ndarray, target: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float, np.ndarray, float]:
-    """(history, start, expected tokens, budget) of the projected-gradient fit.
+def _members(pdf: pd.DataFrame, n: int, caps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Memberships and caps of a batch; a document without label may occur as often as the least repeatable source."""
+    place = pdf["place"].to_numpy()
+    return np.array(pdf["member"].tolist()).reshape(-1, n), np.where(place >= 0, caps[place], caps.min())
+
+
+def fit_rates(sized: DataFrame, caps: np.ndarray, target: np.ndarray, steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """(history, expected tokens, budget) of the projected-gradient fit, started at one copy of each document.
 
-    ``groups``: documents of equal membership with their tokens. The budget is the
-    largest total that the labelled documents can fill within their repeats.
+    The budget is the largest total that the labelled documents alone can fill within
+    their repeats, so the fit has a solution whatever the unlabelled ones are. A source
+    without labelled documents cannot be filled; the others keep their proportions.
     """
     n = len(target)
-    low = float(caps.min())
 
-    def totals(history: list[np.ndarray], start: float) -> np.ndarray:
+    def totals(history: list[np.ndarray], labelled_full: bool = False) -> np.ndarray:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             acc = np.zeros(n)
             for pdf in batches:
-                m = np.array(pdf["member"].tolist()).reshape(-1, n)
-                cap = np.where(pdf["labelled"], m @ caps, low)
-                acc += (replay(m, cap, history, start) * pdf["tokens"].to_numpy()) @ m
+                m, cap = _members(pdf, n, caps)
+                r = np.where(pdf["place"] >= 0, cap, 0.0) if labelled_full else replay(m, cap, history, 1.0)
+                acc += (r * pdf["n_tokens"].to_numpy()) @ m
             yield pd.DataFrame([acc], columns=[f"t{i}" for i in range(n)])
 
-        got = groups.mapInPandas(part, ", ".join(f"t{i} double" for i in range(n))).agg(*[F.sum(f"t{i}") for i in range(n)]).first()
+        got = sized.mapInPandas(part, ", ".join(f"t{i} double" for i in range(n))).agg(*[F.sum(f"t{i}") for i in range(n)]).first()
         return np.array([x or 0.0 for x in got])
 
-    size = totals([], 1.0) if low >= 1 else np.zeros(n)
-    own = groups.where("labelled").select(F.posexplode("member").alias("i", "p"), "tokens").groupBy("i").agg(F.sum(F.col("p") * F.col("tokens")).alias("t")).collect()
-    have = np.zeros(n)
-    for r in own:
-        have[r["i"]] = r["t"] or 0.0
-    usable = (target > 0) & (have > 0)
-    budget = float((caps[usable] * have[usable] / target[usable]).min()) if usable.any() else 0.0
-    if budget == 0:
-        return [], 0.0, np.zeros(n), 0.0
-    scale = np.where(size > 0, budget / np.maximum(size, 1.0), 0.0)  # inverse curvature of each source's total
+    labelled = {r["place"] for r in sized.where("place >= 0").select("place").distinct().collect()}  # at most the sources
+    have = totals([], labelled_full=True)
+    usable = (target > 0) & (have > 0) & np.array([i in labelled for i in range(n)])
+    if not usable.any():
+        return [], np.zeros(n), 0.0
+    goal = np.where(usable, target, 0.0)
+    goal = goal / goal.sum()
+    budget = FILL * float((have[usable] / goal[usable]).min())
+    now = totals([])
+    scale = np.where(now > 0, budget / np.maximum(now, 1.0), 0.0)  # inverse curvature of each source's total
     history: list[np.ndarray] = []
-    now = totals(history, 1.0)
     for _ in range(steps):
-        residual = now / budget - np.where(usable, target, 0.0)
+        residual = now / budget - goal
         if np.abs(residual).max() < tolerance:
             break
         history.append(scale * residual)
-        now = totals(history, 1.0)
-    return history, 1.0, now, budget
+        now = totals(history)
+    return history, now, budget
 
 
 def mixture(docs: DataFrame, targets: DataFrame, vocabulary: str = tokenize.VOCABULARY, bound: int = SAMPLE_BOUND) -> DataFrame:
-    """(doc_id, source, labelled, n_tokens, rate, copies) of the documents that occur in the mixture.
+    """(doc_id, source, labelled, n_tokens, member, rate, copies) of the documents that occur in the mixture.
 
-    ``targets`` (source, target_share, max_repeats) has one row per source. Documents
-    without tokens never occur. An unlabelled document counts by its posterior, is named
-    by its most likely source and occurs at most as often as the least repeatable one.
-    A source without documents cannot be filled; the others keep their proportions.
+    ``targets`` (source, target_share, max_repeats) has one row per source. Every
+    document with tokens takes part by its posterior; those without tokens and those of
+    a source that is no target never occur. ``source`` is the label, without one the
+    most likely source (``member`` has its posterior), and such a document occurs at most as often as the least
+    repeatable source allows. Empty tables give an empty mixture.
     """
     rows = [r for r in targets.collect() if r["source"]]
     sources = [r["source"].strip().lower() for r in rows]
     caps = np.array([float(r["max_repeats"] or 0) for r in rows])
     target = np.array([float(r["target_share"] or 0) for r in rows])
     n = len(sources)
+    if not n:
+        return docs.select("doc_id", F.lit("").alias("source"), F.lit(False).alias("labelled"), F.lit(0).cast("long").alias("n_tokens"), F.array(F.lit(0.0)).alias("member"), F.lit(0.0).alias("rate"), F.lit(0).alias("copies")).limit(0)
     size = staged(sized(docs, sources, vocabulary, bound), "sized")
-    live = size.where((F.col("n_tokens") > 0) & (F.aggregate("member", F.lit(0.0), lambda a, x: a + x) > 0))
-    groups = staged(live.groupBy("member", "labelled").agg(F.sum("n_tokens").alias("tokens")), "groups")
-    history, start, _, _ = fit_rates(groups, caps, target)
-    low = float(caps.min()) if n else 0.0
-
-    @F.pandas_udf("double")
-    def rate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for m, lab in batches:
-            x = np.array(m.tolist()).reshape(-1, n)
-            yield pd.Series(replay(x, np.where(lab, x @ caps, low), history, start) if history else np.zeros(len(x)))
-
-    top = F.array_position("member", F.array_max("member")).cast("int") - 1
+    history, _, budget = fit_rates(size, caps, target)
+
+    @F.pandas_udf("struct<rate:double,top:int>")
+    def rate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for member, place in batches:
+            m, cap = _members(pd.DataFrame({"member": member, "place": place}), n, caps)
+            top = np.where(place >= 0, place, m.argmax(axis=1))
+            yield pd.DataFrame({"rate": replay(m, cap, history, 1.0).round(9) if budget else np.zeros(len(m)), "top": top.astype("int32")})
+
     names = F.array(*[F.lit(s) for s in sources])
-    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 4)  # 60 bits
-    rated = groups.withColumn("rate", F.round(rate("member", "labelled"), 9)).select("member", "labelled", "rate")
-    same = live.join(rated, ["member", "labelled"]) if groups.count() else live.withColumn("rate", F.lit(0.0))
-    placed = same.select("doc_id", top.alias("s"), "labelled", "n_tokens", "rate", order.alias("h"))
-    limits = _thresholds(placed, n)
-    bound_of = F.try_element_at(F.array(*[F.lit(x) for x in limits]), F.col("s") + 1)
-    extra = F.when(F.col("labelled"), F.col("h") < bound_of).otherwise(F.col("h") < (F.col("rate") - F.floor("rate")) * float(1 << 60))
+    order = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - HASH_BITS)
+    placed = size.select("doc_id", "place", "n_tokens", "member", rate("member", "place").alias("r"), order.alias("_o"))
+    fraction = F.col("r.rate") - F.floor("r.rate")
+    key = F.least(F.col("_o") / fraction, F.lit(float((1 << KEY_BITS) - 1))).cast("long")
+    placed = placed.select("doc_id", "place", "n_tokens", "member", F.col("r.rate").alias("rate"), F.col("r.top").alias("top"), F.when(fraction > 0, key).alias("key"))
+    placed = staged(placed, "placed")
+    limits = F.create_map(*[F.lit(x) for kv in _thresholds(placed, n).items() for x in kv])
+    extra = F.coalesce(F.col("key") < F.try_element_at(limits, F.col("place")), F.lit(False))
     copies = (F.floor("rate") + extra.cast("int")).cast("int")
-    return placed.withColumn("copies", copies).where("copies > 0").select("doc_id", names[F.col("s")].alias("source"), "labelled", "n_tokens", "rate", "copies")
+    return placed.withColumn("copies", copies).where("copies > 0").select("doc_id", names[F.col("top")].alias("source"), (F.col("place") >= 0).alias("labelled"), "n_tokens", "member", "rate", "copies")
 
 
-def _thresholds(placed: DataFrame, n: int, bits: int = 12) -> list[int]:
-    """Per source the hash below which labelled documents get one more copy.
+def _thresholds(placed: DataFrame, n: int, bits: int = 12) -> dict[int, int]:
+    """Per place (labelled source, or -1) the key below which documents get one more copy.
 
-    Their tokens are the fractional part of the rate times the source's tokens, to
-    within one document. Each round reads 2**bits sums per source.
+    Their tokens are the sum of the rates' fractions times the tokens, to within one
+    document. Each round reads at most 2**bits sums a place, inside the open prefix.
     """
-    lab = placed.where("labelled")
-    want = {r["s"]: float(r["w"] or 0) for r in lab.groupBy("s").agg(F.sum((F.col("rate") - F.floor("rate")) * F.col("n_tokens")).alias("w")).collect()}
+    some = placed.where("key is not null")
+    want = {r["place"]: float(r["w"] or 0) for r in some.groupBy("place").agg(F.sum((F.col("rate") - F.floor("rate")) * F.col("n_tokens")).alias("w")).collect()}
     prefix = dict.fromkeys(want, 0)
-    shift = 60
+    shift = KEY_BITS
     while shift > 0 and want:
         shift -= bits
         open_ = F.create_map(*[F.lit(x) for kv in prefix.items() for x in kv])
-        inside = lab.where(F.shiftrightunsigned("h", shift + bits) == open_[F.col("s")]) if shift + bits < 60 else lab
-        sums = inside.groupBy("s", F.shiftrightunsigned("h", shift).alias("b")).agg(F.sum("n_tokens").alias("t")).collect()  # at most sources x 2**bits
+        inside = some.where(F.shiftrightunsigned("key", shift + bits) == open_[F.col("place")]) if shift + bits < KEY_BITS else some
+        sums = inside.groupBy("place", F.shiftrightunsigned("key", shift).alias("b")).agg(F.sum("n_tokens").alias("t")).collect()  # at most places x 2**bits
         by: dict[int, dict[int, int]] = {}
         for r in sums:
-            by.setdefault(r["s"], {})[r["b"]] = r["t"]
+            by.setdefault(r["place"], {})[r["b"]] = r["t"]
         for s in want:
             at = prefix[s] << bits
             last = at + (1 << bits) - 1
@@ -222,16 +244,23 @@ def _thresholds(placed: DataFrame, n: int, bits: int = 12) -> list[int]:
                     break
                 want[s] -= by[s][b]
             prefix[s] = last
-    return [prefix.get(i, 0) for i in range(n)]
+    return prefix or {-1: 0}
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, n_docs, n_copies, most_copies, n_tokens, actual_share); a source that is missing has zeros."""
+    """(source, target_share, n_docs, n_copies, most_copies, n_tokens, actual_share); a source that is missing has zeros.
+
+    Labelled documents count wholly for their label; tokens of the others count by
+    their posterior, so ``n_tokens`` is an expectation, rounded. ``n_docs``,
+    ``n_copies`` and ``most_copies`` are of the labelled documents.
+    """
+    names = [r["source"].strip().lower() for r in targets.select("source").collect() if r["source"]]
     t = F.col("copies") * F.col("n_tokens")
-    got = mixed.groupBy(F.col("source").alias("_s")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"), F.sum(t).alias("n_tokens")
-    )
+    own = F.col("labelled")
+    parts = F.array(*[F.struct(F.lit(x).alias("_s"), F.when(own, (F.col("source") == x).cast("double")).otherwise(F.get("member", F.lit(i))).alias("w")) for i, x in enumerate(names)])
+    each = mixed.select("copies", own, t.alias("t"), F.explode(parts).alias("p")).select("copies", "labelled", "t", "p.*").where("w > 0")
+    got = each.groupBy("_s").agg(F.count_if(F.col("labelled")).alias("n_docs"), F.sum(F.when(F.col("labelled"), F.col("copies"))).alias("n_copies"), F.max(F.when(F.col("labelled"), F.col("copies"))).alias("most_copies"), F.sum(F.col("w") * F.col("t")).alias("n_tokens"))
     total = got.agg(F.sum("n_tokens").alias("_all"))
     joined = targets.select(F.lower(F.trim("source")).alias("source"), "target_share").join(got, F.col("source") == F.col("_s"), "left").crossJoin(total)  # one row
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_docs", "n_copies", "most_copies", "n_tokens")]
-    return joined.select("source", "target_share", *zero, F.coalesce(F.col("n_tokens") / F.col("_all"), F.lit(0.0)).alias("actual_share"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_docs", "n_copies", "most_copies")]
+    return joined.select("source", "target_share", *zero, F.coalesce(F.round("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"), F.coalesce(F.col("n_tokens") / F.col("_all"), F.lit(0.0)).alias("actual_share"))
