@@ -57,34 +57,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set in local mode (tests, one
+    machine). On a cluster that would lie on one machine only, so it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        known = jsc.getCheckpointDir()
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             found = known.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             found = tempfile.mkdtemp(prefix="linkprism-")
             spark.sparkContext.setCheckpointDir(found)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/")
 
 
+def staging_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; the application's staging folder is removed when the driver ends."""
+    root = f"{shared_dir(spark)}/linkprism-{_RUN}"
+    if root not in _CLEAN:
+        _CLEAN.add(root)
+        atexit.register(_remove, spark, root)
+    return f"{root}/{next(_SERIAL):04d}-{tag}"
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     This cuts lineage and survives lost executors; unlike a checkpoint the table
     is columnar and compressed, so later passes read only the columns they name.
-    The application's staging folder is removed when the driver ends.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/linkprism-{_RUN}"
-    path = f"{root}/{next(_SERIAL):04d}-{tag}"
+    path = staging_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    if root not in _CLEAN:
-        _CLEAN.add(root)
-        atexit.register(_remove, spark, root)
     return spark.read.schema(df.schema).parquet(path)
 
 

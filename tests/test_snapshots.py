@@ -1,7 +1,12 @@
 import random
 from collections import defaultdict
 
-from linkprism.operators.snapshots import snapshot_changes, write_snapshot
+import numpy as np
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from linkprism.operators import snapshots as S
+from linkprism.operators.snapshots import SnapshotStore, merged, snapshot_changes
 
 SCHEMA = "crawl string, link_id long, loaded_at long, row_id long, a string, b string, change_kind string"
 
@@ -57,6 +62,43 @@ def test_empty_tables(spark):
     assert snapshot_changes(df, none, "crawl", "link_id", ["loaded_at"], ["a"]).collect() == []
 
 
-def test_stored_snapshot_is_sorted_by_key(spark, tmp_path):
-    write_snapshot(spark.range(100).selectExpr("99 - id as k"), str(tmp_path / "s"), "k", 3)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 100
+def test_merge_of_blocks_against_sets():
+    rnd = random.Random(6)
+    for _ in range(200):
+        a = {k: rnd.choice("xy") for k in rnd.sample(range(40), rnd.randint(0, 30))}
+        b = {k: rnd.choice("xy") for k in rnd.sample(range(40), rnd.randint(0, 30))}
+
+        def runs(d):
+            keys = sorted(d)
+            while keys:
+                n = rnd.randint(1, 9)
+                part, keys = keys[:n], keys[n:]
+                yield np.array(part), np.array([d[k] for k in part], dtype=object)
+
+        got = {(kind, int(k)) for kind, ks in merged(runs(a), runs(b)) for k in ks}
+        assert got == {("added", k) for k in b.keys() - a.keys()} | {("removed", k) for k in a.keys() - b.keys()} | {("changed", k) for k in a.keys() & b.keys() if a[k] != b[k]}
+
+
+def test_a_store_takes_snapshots_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 7)
+    rnd = random.Random(12)
+    path = str(tmp_path / "store")
+    days = [{f"k{rnd.randint(0, 90)}": rnd.choice([None, "p", "q"]) for _ in range(70)} for _ in range(3)]
+    frames = [spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(d.items())] * 2 + [(None, "x", 0)], "k string, v string, o long") for d in days]
+    SnapshotStore.create(frames[0].select("k"), path, 4).write(frames[0], F.lit(1), "k", ["o"], ["v"])
+    for n, f in enumerate(frames[1:], 2):
+        SnapshotStore.open(spark, path).write(f, F.lit(n), "k", ["o"], ["v"])
+    store = SnapshotStore.open(spark, path)
+    assert len(store.bounds) == 3 and {s for s, _ in store.files()} == {1, 2, 3}
+    df = store.changes([(1, 2, "b"), (2, 3, "c")], T.StructField("day", T.StringType()), T.StructField("k", T.StringType()))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for a, b, n in zip(days, days[1:], "bc"):
+        want |= {(n, k, "added") for k in b.keys() - a.keys()} | {(n, k, "removed") for k in a.keys() - b.keys()} | {(n, k, "changed") for k in a.keys() & b.keys() if a[k] != b[k]}
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
+def test_mark_tells_apart(spark):
+    rows = [("a", "b"), ("ab", ""), ("", "ab"), (None, "ab"), ("ab", None), (None, None), ("-", None)]
+    df = spark.createDataFrame(rows, "a string, b string").select(S.state_mark(["a", "b"]).alias("m"))
+    assert df.distinct().count() == len(rows)
