@@ -2,9 +2,9 @@
 
 Method: distributed exact selection. Values become unsigned ordinals; each round
 counts a histogram of the next ``bits`` bits per key, finds for every wanted rank
-the bin that holds it, and refines only those bins, until one value is left. All
-counts are sums, so partial aggregation merges a hot key's rows on the map side
-and no task ever holds more than ``2**bits`` rows of one key.
+the bin that holds it, and keeps only the values of those bins for the next round, until
+one value is left. All counts are sums, so partial aggregation merges a hot key's rows
+on the map side and no task ever holds more than ``2**bits`` rows of one key.
 """
 
 from __future__ import annotations
@@ -61,30 +61,29 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         ).alias("_i", "_rank"),
         F.lit(0).cast("long").alias("_prefix"),
     )
+    names = {k: f"_k{j}" for j, k in enumerate(keys)}
+
+    def same(extra: Column) -> Column:
+        for k, other in names.items():
+            extra = extra & F.col(k).eqNullSafe(F.col(other))
+        return extra
+
     shift = width
     while shift > 0:
+        inside = live.withColumn("_p", F.shiftright("_o", shift))
+        if shift < width:  # at first all values are inside the one open prefix
+            open_ = wanted.select(*[F.col(k).alias(n) for k, n in names.items()], "_prefix").distinct()
+            inside = inside.join(open_, same(F.col("_p") == F.col("_prefix")), "left_semi")
         shift -= bits
-        bins = live.groupBy(*keys, F.shiftright("_o", shift + bits).alias("_prefix"), F.shiftright("_o", shift).alias("_bin")).agg(
-            F.sum("_n").alias("_c")
-        )
-        upto = Window.partitionBy(*keys, "_prefix").orderBy("_bin")  # at most 2**bits rows a partition
-        bins = bins.withColumn("_cum", F.sum("_c").over(upto))
-        bins = bins.withColumnsRenamed({k: f"_k{j}" for j, k in enumerate(keys)}).withColumnRenamed("_prefix", "_p")
-        same = F.col("_prefix") == F.col("_p")
-        for j, k in enumerate(keys):
-            same = same & F.col(k).eqNullSafe(F.col(f"_k{j}"))
-        hit = wanted.join(bins, same & (F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("_c")))
-        wanted = hit.select(
-            *keys, "_i", (F.col("_rank") - (F.col("_cum") - F.col("_c"))).alias("_rank"), F.col("_bin").alias("_prefix")
-        )
+        bins = inside.groupBy(*keys, "_p", F.shiftright("_o", shift).alias("_bin")).agg(F.sum("_n").alias("_c"))
+        upto = Window.partitionBy(*keys, "_p").orderBy("_bin")  # at most 2**bits rows a partition
+        bins = bins.withColumn("_cum", F.sum("_c").over(upto)).withColumnsRenamed(names)
+        hit = wanted.join(bins, same((F.col("_prefix") == F.col("_p")) & (F.col("_rank") <= F.col("_cum")) & (F.col("_rank") > F.col("_cum") - F.col("_c"))))
+        wanted = staged(hit.select(*keys, "_i", (F.col("_rank") - (F.col("_cum") - F.col("_c"))).alias("_rank"), F.col("_bin").alias("_prefix")), "ranks")
     found = wanted.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", "_prefix"))), lambda x: x["_prefix"] + F.lit(int(lo))).alias("quantiles")
     )
-    found = found.withColumnsRenamed({k: f"_k{j}" for j, k in enumerate(keys)})
-    same = F.lit(True)
-    for j, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{j}"))
-    return per_key.join(found, same, "left").select(*keys, "n_rows", "n_values", "quantiles")
+    return per_key.join(found.withColumnsRenamed(names), same(F.lit(True)), "left").select(*keys, "n_rows", "n_values", "quantiles")
 
 
 def key_report(df: DataFrame, key_fields: list[str], value: Column, probs: list[float]) -> DataFrame:
