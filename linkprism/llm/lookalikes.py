@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkprism.llm.common import is_text
+from linkprism.runtime import staged
 
 # Letters of other scripts that imitate Latin ones (fixed values): imitation, Latin.
 _TO_LATIN = dict(
@@ -136,26 +137,24 @@ def normalized(df: DataFrame, text: str, row_id: str, out: str = "normalized_tex
     stay; ``row_id`` must be unique.
     """
 
-    @F.pandas_udf("struct<folded:string,foreign:boolean>")
-    def base(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("struct<folded:string,options:array<struct<token:string,place:int,repair:string>>>")
+    def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            done = [None if t is None else fold(t) for t in s]
-            yield pd.DataFrame({"folded": pd.Series(done, dtype=object), "foreign": [bool(t and _FOREIGN.search(t) and repairs(t)) for t in done]})
-
-    @F.pandas_udf("array<struct<token:string,place:int,repair:string>>")
-    def candidates(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([[(w, i, c) for w, cs in repairs(t).items() for i, c in enumerate(cs)] for t in s], dtype=object)
+            done = [fold(t) for t in s]
+            found = [[(w, i, c) for w, cs in repairs(t).items() for i, c in enumerate(cs)] or None for t in done]
+            yield pd.DataFrame({"folded": pd.Series(done, dtype=object), "options": pd.Series(found, dtype=object)})
 
     @F.pandas_udf("string")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for t, m in batches:
-            yield pd.Series([None if a is None else unicodedata.normalize("NFC", substitute(a, None if b is None else {x["token"]: x["repair"] for x in b})) for a, b in zip(t, m)], dtype=object)
+            yield pd.Series([a if b is None else unicodedata.normalize("NFC", substitute(a, {x["token"]: x["repair"] for x in b})) for a, b in zip(t, m)], dtype=object)
 
     c = F.col(text)
-    touched = df.where(c.rlike(r"[^\x00-\x7f]")).select(F.col(row_id).alias("__lp_id"), base(c).alias("__lp_b")).select("__lp_id", "__lp_b.*")
-    asked = touched.where("foreign").select("__lp_id", "folded")
-    options = asked.select("__lp_id", F.explode(candidates("folded")).alias("x")).select("__lp_id", "x.*")
+    odd = F.coalesce(c.rlike(r"[^\x00-\x7f]"), F.lit(False))
+    # Folded once and written; only rows with candidate repairs are joined to what the vocabulary chose.
+    touched = staged(df.where(odd).withColumn("__lp_b", look(c)), "folded")
+    asked = touched.where("__lp_b.options is not null")
+    options = asked.select(F.col(row_id).alias("__lp_id"), F.explode("__lp_b.options").alias("x")).select("__lp_id", "x.*")
     known = vocabulary(df, text).select(F.col("word").alias("_w"), "n_uses")
     chosen = (
         options.join(known, F.lower("repair") == F.col("_w"))
@@ -164,16 +163,10 @@ def normalized(df: DataFrame, text: str, row_id: str, out: str = "normalized_tex
         .groupBy("__lp_id")
         .agg(F.collect_list(F.struct("token", F.col("best.repair").alias("repair"))).alias("__lp_map"))
     )
-    return _attach(df, touched, chosen, apply, row_id, text, out)
-
-
-def _attach(df: DataFrame, touched: DataFrame, chosen: DataFrame, apply, row_id: str, text: str, out: str) -> DataFrame:
-    fixed = touched.join(chosen, "__lp_id", "left").select(
-        "__lp_id", F.when(F.col("__lp_map").isNotNull(), apply("folded", "__lp_map")).otherwise(F.col("folded")).alias("__lp_new")
-    )
-    ascii_rows = df.where(F.col(text).isNull() | ~F.col(text).rlike(r"[^\x00-\x7f]")).withColumn(out, F.col(text))
-    other = df.where(F.col(text).rlike(r"[^\x00-\x7f]")).join(fixed, F.col(row_id) == F.col("__lp_id"), "left").withColumn(out, F.col("__lp_new")).drop("__lp_id", "__lp_new")
-    return ascii_rows.unionByName(other)
+    plain = df.where(~odd).withColumn(out, c)
+    folded = touched.where("__lp_b.options is null").withColumn(out, F.col("__lp_b.folded")).drop("__lp_b")
+    mended = asked.join(chosen, F.col(row_id) == F.col("__lp_id"), "left").withColumn(out, apply("__lp_b.folded", "__lp_map")).drop("__lp_b", "__lp_id", "__lp_map")
+    return plain.unionByName(folded).unionByName(mended)
 
 
 def disguised(links: DataFrame, prompts: DataFrame) -> DataFrame:
