@@ -11,16 +11,21 @@ from linkprism.runtime import table
 LINKS = "sample_classified_prompt_links"
 
 
+def _prompt_keys(spark: SparkSession, sf: str) -> list[str]:
+    """The query keys of all assistants: a rule table, one row per host."""
+    return sorted({k for r in table(spark, sf, "platform_signatures").select("prompt_params").collect() for k in r[0] or ()})
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.cut_values(table(spark, sf, "sample_prompt_links")).select("link_no", "field_name")
+    return truncation.cut_values(table(spark, sf, "sample_prompt_links"), keys=_prompt_keys(spark, sf)).select("link_no", "field_name")
 
 
 def p1_source_rates(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.truncation_rates(table(spark, sf, "sample_prompt_links"))
+    return truncation.truncation_rates(table(spark, sf, "sample_prompt_links"), keys=_prompt_keys(spark, sf))
 
 
 def p1_limits(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.exposed_limits(table(spark, sf, "sample_prompt_links"), "source_domain")
+    return truncation.exposed_limits(table(spark, sf, "sample_prompt_links"), "source_domain", _prompt_keys(spark, sf))
 
 
 def p3_segments(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 Method: the length of every value is recomputed under several encodings (code points,
 UTF-8, UTF-16, HTML entities, JSON escapes, CRLF line ends); grouped by source, each
-measure's histogram exposes hidden limits as spikes. Then the endings are inspected:
-damaged escapes and characters, a continuation in the other field, and how the corpus
-goes on after the last words. Statistics cover all rows.
+measure's histogram of different values exposes hidden storage limits as significant
+spikes, and so do the sources' longest values taken together. A value at a limit of
+its source is cut unless its end shows that it is whole. Then the other endings are
+inspected: damaged escapes and characters, a continuation in the other field, and how
+the corpus goes on after the last words. Statistics cover all rows.
 """
 
 from __future__ import annotations
@@ -18,70 +20,100 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkprism.llm.common import is_text
+from linkprism.operators.rules import PROMPT_KEYS
 from linkprism.runtime import staged
 
 FIELDS = ("primary_prompt_text", "target_url")
-#: A spike: at least this many values, this many times the mean of the lengths around it.
-SPIKE_ROWS, SPIKE_RATIO, SPIKE_REACH = 6, 5.0, 6
+#: A spike is a length that so many different values would share by chance less often than this, over all lengths of a source.
+SPIKE_CHANCE = 0.01
+#: Lengths on either side that tell how many values to expect.
+SPIKE_REACH = 6
 #: Endings that the corpus closes in at most this share of the cases count as cut.
 CLOSED_SHARE = 0.04
-PROMPT_KEYS = ("q", "prompt", "query", "text", "message")
 
 _TERMINAL = set(".!?。！？)）]」』”»\"“")
 _STOP = re.compile(r"[.!?。！？;；:：]+")
 _EAST = "\u3040-\u30ff\u3400-\u9fff"
 _TOKEN = re.compile(rf"[{_EAST}]|[^\W_{_EAST}]+(?:[-.'’][^\W_{_EAST}]+)*|[.!?。！？]+|[#@(\[“„«\"]")
 _PARTIAL = re.compile(r"%[0-9A-Fa-f]?$")
+_HOST = re.compile(r"[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}$")
 _DOTS = re.compile(r"\s*(?:\.\.\.|…)$")
 
 
+MEASURES = ("code_points", "utf8_bytes", "utf16_units", "html_escaped", "html_escaped_bytes", "json_escaped", "json_utf8_bytes", "crlf", "crlf_bytes")
+
+
 def measures(c: Column) -> dict[str, Column]:
-    """Length of a value as different stores count it."""
-    html = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "[<>]", "&lt;"), "[\"']", "&#39;..")
-    json = F.regexp_replace(c, r'["\\\n\r\t]', "xx")
-    return {
-        "code_points": F.length(c),
-        "utf8_bytes": F.octet_length(c),
-        "utf16_units": F.length(F.regexp_replace(c, r"[\x{10000}-\x{10ffff}]", "xx")),
-        "html_escaped": F.length(html),
-        "html_escaped_bytes": F.octet_length(html),
-        "json_escaped": F.length(F.regexp_replace(F.regexp_replace(json, r"[\x{10000}-\x{10ffff}]", "xxxxxxxxxxxx"), r"[^\x00-\x7f]", "xxxxxx")),
-        "json_utf8_bytes": F.octet_length(json),
-        "crlf": F.length(F.regexp_replace(c, r"\r?\n", "xx")),
-        "crlf_bytes": F.octet_length(F.regexp_replace(c, r"\r?\n", "xx")),
-    }
+    """Length of a value as different stores count it; counts of single signs, so no copy of the value is escaped."""
+    n, b = F.length(c), F.octet_length(c)
+
+    def uses(sign: str) -> Column:
+        return b - F.octet_length(F.replace(c, F.lit(sign), F.lit("")))
+
+    units = F.octet_length(F.encode(c, "UTF-16LE")).cast("int")
+    units = F.when(n == b, n).otherwise(F.shiftright(units, 1))
+    other = F.when(n == b, F.lit(0)).otherwise(F.length(F.regexp_replace(c, r"[\x00-\x7f]+", "")))
+    html = 4 * uses("&") + 3 * (uses("<") + uses(">")) + 5 * (uses('"') + uses("'"))
+    json = uses('"') + uses("\\") + uses("\n") + uses("\r") + uses("\t")
+    ends = uses("\n") - F.shiftright(uses("\r\n"), 1)
+    found = (n, b, units, n + html, b + html, n + json + 5 * other + 6 * (units - n), b + json, n + ends, b + ends)
+    return dict(zip(MEASURES, found))
 
 
 def source_key(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c)), F.lit(""))
 
 
-def exposed_limits(df: DataFrame, source: str) -> DataFrame:
-    """(field_name, source, measure, limit_len, n_values, expected): spikes in the length histograms.
+def _rarely(n: Column, expected: Column, tests: Column) -> Column:
+    """Whether ``n`` values where ``expected`` are expected is rarer than SPIKE_CHANCE in so many tests (Chernoff bound of the Poisson tail)."""
+    return (n > expected) & (n - expected + n * F.log(expected / n) < F.log(F.lit(SPIKE_CHANCE) / tests))
 
-    ``expected`` is the mean count of the lengths around the spike. Blank and null
-    values are left out; a null source is a source of its own.
+
+def length_histogram(values: DataFrame) -> DataFrame:
+    """(field_name, source, len, n0..n8, m0..m8) from (field_name, source, value_id, open, lens): different open values by length and measure.
+
+    ``m`` tells that the length is the source's largest in the measure. A value whose
+    measures agree is one row; counts merge on the map side.
     """
-    per_value = None
-    for f in FIELDS:
-        c = F.col(f)
-        m = F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("len")) for k, v in measures(c).items()])
-        part = df.where(is_text(c)).select(F.lit(f).alias("field_name"), source_key(F.col(source)).alias("source"), F.explode(m).alias("m"))
-        per_value = part if per_value is None else per_value.unionByName(part)
-    hist = per_value.groupBy("field_name", "source", "m.measure", "m.len").agg(F.count(F.lit(1)).alias("n"))
-    near = Window.partitionBy("field_name", "source", "measure").orderBy("len").rangeBetween(-SPIKE_REACH, SPIKE_REACH)
-    expected = (F.sum("n").over(near) - F.col("n")) / (2.0 * SPIKE_REACH)
-    spikes = (
-        hist.withColumn("expected", expected)
-        .where((F.col("n") >= SPIKE_ROWS) & (F.col("n") >= SPIKE_RATIO * F.col("expected")) & (F.col("len") >= 20))
-        .select("field_name", "source", "measure", F.col("len").alias("limit_len"), F.col("n").alias("n_values"), "expected")
+    distinct = values.groupBy("field_name", "source", "value_id").agg(F.max("open").alias("open"), F.first("lens").alias("lens"))
+    k = range(len(MEASURES))
+    each = distinct.select("field_name", "source", "open", "lens", F.explode(F.array_distinct("lens")).alias("len"))
+    counts = each.groupBy("field_name", "source", "len").agg(
+        *[F.count_if(F.col("open") & (F.col("lens")[i] == F.col("len"))).alias(f"n{i}") for i in k], *[F.max((F.col("lens")[i] == F.col("len"))).alias(f"a{i}") for i in k]
     )
+    whole = Window.partitionBy("field_name", "source")
+    return counts.select("field_name", "source", "len", *[f"n{i}" for i in k], *[(F.col(f"a{i}") & (F.col("len") == F.max(F.when(F.col(f"a{i}"), F.col("len"))).over(whole))).alias(f"m{i}") for i in k])
+
+
+def spikes(hist: DataFrame) -> DataFrame:
+    """(field_name, source, measure, limit_len, n_values, expected): limits that the histograms expose.
+
+    Source null: a limit of all sources together, where more of them than by chance
+    have an open value of this length as their longest. ``expected`` is the mean of the
+    lengths around, for a source at least what the spread of all lengths lets expect.
+    """
+    k = range(len(MEASURES))
+    filled = hist.select("field_name", "len", *[(F.col(f"m{i}") & (F.col(f"n{i}") > 0)).cast("int").alias(f"n{i}") for i in k], (F.col("n0") > 0).cast("int").alias("any"))
+    pooled = filled.groupBy("field_name", "len").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in k], F.sum("any").alias("any"))
+    # The chance that two values of different sources have one length; a source's own spike counts once.
+    spread = pooled.groupBy("field_name").agg((F.sum(F.col("any") * F.col("any")) / F.pow(F.sum("any"), F.lit(2.0))).alias("_together"))
+
+    def found(h: DataFrame, keys: list[str], together: Column, least: float) -> DataFrame:
+        near, whole = Window.partitionBy(*keys).orderBy("len").rangeBetween(-SPIKE_REACH, SPIKE_REACH), Window.partitionBy(*keys)
+        cols = [F.struct(F.lit(MEASURES[i]).alias("measure"), F.col(f"n{i}").alias("n_values"), ((F.sum(f"n{i}").over(near) - F.col(f"n{i}")) / (2.0 * SPIKE_REACH)).alias("around"), F.count_if(F.col(f"n{i}") > 0).over(whole).alias("tests"), F.sum(f"n{i}").over(whole).alias("total")) for i in k]
+        x = h.select(*keys, "len", F.array(*cols).alias("x")).select(*keys, "len", F.explode("x").alias("x")).select(*keys, "len", "x.*").where("n_values > 1")
+        expected = F.greatest(F.col("around"), F.col("total") * together, F.lit(least))
+        return x.withColumn("expected", expected).where(_rarely(F.col("n_values"), F.col("expected"), F.col("tests"))).select(*keys, "measure", F.col("len").alias("limit_len"), "n_values", "expected")
+
+    own = found(hist.join(F.broadcast(spread), "field_name"), ["field_name", "source", "_together"], F.col("_together"), 1e-6).drop("_together")  # one row a field
+    common = found(pooled, ["field_name"], F.lit(0.0), 0.5).withColumn("source", F.lit(None).cast("string"))
     # A limit in one measure shows in others through values that both count alike: the strongest measure stays.
     best = Window.partitionBy("field_name", "source", "limit_len")
-    return spikes.withColumn("_m", F.max("n_values").over(best)).where(F.col("n_values") >= 0.9 * F.col("_m")).drop("_m")
+    both = own.unionByName(common).withColumn("_m", F.max("n_values").over(best)).where(F.col("n_values") >= 0.9 * F.col("_m"))
+    return both.select("field_name", "source", "measure", "limit_len", "n_values", "expected")
 
 
-def prompt_of(url: str) -> tuple[str | None, bool, str]:
+def prompt_of(url: str, keys: frozenset[str] = frozenset(PROMPT_KEYS)) -> tuple[str | None, bool, str]:
     """(decoded prompt, whether the address ends inside it, raw value)."""
     q = url.find("?")
     if q < 0:
@@ -89,7 +121,7 @@ def prompt_of(url: str) -> tuple[str | None, bool, str]:
     at = q + 1
     for part in url[q + 1 :].split("&"):
         k, eq, v = part.partition("=")
-        if eq and k.lower() in PROMPT_KEYS:
+        if eq and k.lower() in keys:
             return unquote_plus(v, errors="replace"), at + len(part) == len(url), v
         at += len(part) + 1
     return None, False, ""
@@ -104,7 +136,7 @@ def tokens_of(text: str, source: str) -> list[str]:
         low = t.lower()
         if _STOP.fullmatch(t):
             out.append("<.>")
-        elif low in names or re.search(r"\.(?:example|test|invalid|com|org|net)$", low):
+        elif low in names or _HOST.match(low):
             out.append("<D>")
         else:
             out.append(t)
@@ -145,12 +177,12 @@ def _more(short: str, long: str) -> bool:
     return len(long) > len(short) and long.startswith(short) and any(x.isalnum() for x in long[len(short) :])
 
 
-def inspect(text: str | None, url: str | None, source: str) -> dict:
+def inspect(text: str | None, url: str | None, source: str, keys: frozenset[str] = frozenset(PROMPT_KEYS)) -> dict:
     """What the two values of a row show by themselves; see ``cut_values`` for the verdict."""
     out = dict(text_cut=False, text_open=False, text_known=False, url_cut=False, url_open=False, url_same=False, url_whole=False, tk=None, ts=None, tc=None, tw=None, uk=None, us=None, uc=None, uw=None)
     t = text if text and text.strip() else None
     u = url if url and url.strip() else None
-    prompt, last, raw = prompt_of(u) if u else (None, False, "")
+    prompt, last, raw = prompt_of(u, keys) if u else (None, False, "")
     bare = t and re.sub(r"�+$", "", _DOTS.sub("", t.rstrip())) or None
     p = None
     if prompt is not None:
@@ -168,9 +200,9 @@ def inspect(text: str | None, url: str | None, source: str) -> dict:
         tail = u.rpartition("&")[2] if "&" in u else ""
         if prompt is not None and not last and tail:
             k, eq, v = tail.partition("=")
-            if not eq or (k == "utm_source" and source and v.lower() != source and source.startswith(v.lower())):
+            if not eq or (len(v) > 2 and v.lower() != source and source.startswith(v.lower())):
                 out["url_cut"] = True
-            out["url_whole"] = bool(source) and k == "utm_source" and v.lower() == source
+            out["url_whole"] = bool(source) and v.lower() == source
         elif last and not out["url_cut"]:
             out["url_whole"] = prompt[-1:] in _TERMINAL
     if t:
@@ -202,53 +234,95 @@ def _closed(stats: DataFrame, rows: DataFrame, key: str, out: str) -> DataFrame:
     return rows.join(s, key, "left")
 
 
-def _address_limits(seen: DataFrame, limits: DataFrame) -> DataFrame:
-    """``seen`` with ``text_at`` and ``url_at`` (the strongest exposed limit of each value, or null) and ``own``.
+def longer_words(stems: DataFrame, stats: DataFrame) -> DataFrame:
+    """(ctx, word, _src, n_longer): how often the corpus has, after ``ctx``, a word that goes on behind ``word``.
 
-    ``own`` is true for an address whose length alone tells that it was cut: nothing in
-    it shows its end, and so it is for at least ``SPIKE_ROWS`` different addresses of
-    its source at this limit, so neither copies of one address nor whole ones make the
-    spike. An address with the prompt of a text at a limit that holds as many values is
-    whole: there the text was shortened first.
+    The words of a context are sorted once and summed up; what goes on behind a stem is
+    the difference of the sums at the ends of its range, so no stem meets a word in a
+    pair. A site's own name stands as <D> and is looked up by itself.
     """
-    per = limits.withColumnRenamed("source", "_src").groupBy("_src").agg(
-        *[F.collect_list(F.when(F.col("field_name") == f, F.struct(F.col("n_values").alias("n"), F.col("limit_len").alias("len"), "measure"))).alias(k) for f, k in zip(FIELDS, ("_lt", "_lu"))]
-    )
+    asked = stems.select("ctx").distinct()
+    words = stats.where("ctx <> ''").join(asked, "ctx", "left_semi").select("ctx", "word", (F.col("closed") + F.col("goes_on")).alias("n"))
+    plain = words.where("word <> '<D>'").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+    ends = stems.select("ctx", "word").distinct().select("ctx", "word", F.explode(F.array(F.struct(F.col("word").alias("at"), F.lit(-1).alias("sign")), F.struct(F.concat("word", F.lit("\U0010ffff")).alias("at"), F.lit(1).alias("sign")))).alias("x"))
+    line = plain.select("ctx", F.col("word").alias("at"), "n", F.lit(None).cast("string").alias("word"), F.lit(0).alias("sign")).unionByName(ends.select("ctx", "x.at", F.lit(0).cast("long").alias("n"), "word", "x.sign"))
+    upto = Window.partitionBy("ctx").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = line.withColumn("_c", F.sum("n").over(upto)).where("sign <> 0").groupBy("ctx", "word").agg(F.sum(F.col("_c") * F.col("sign")).alias("n_plain"))
+    own = words.where("word = '<D>'").groupBy("ctx").agg(F.sum("n").alias("n_own"))
+    inside = F.col("_src").startswith(F.lower("word")) & (F.length("_src") > F.length("word"))
+    both = stems.join(sums, ["ctx", "word"], "left").join(own, "ctx", "left")
+    total = F.coalesce("n_plain", F.lit(0)) + F.when(inside, F.coalesce("n_own", F.lit(0))).otherwise(0)
+    return both.select("ctx", "word", "_src", total.alias("n_longer")).where("n_longer > 0")
+
+
+def _looked(df: DataFrame, source: str, row_id: str, keys: list[str]) -> DataFrame:
+    """The values' features and lengths, one row per row; the values themselves stay behind."""
+    known = frozenset(k.lower() for k in keys)
 
-    def strongest(field: str, known: str) -> Column:
-        m = measures(F.col(field))
-        lens = F.map_from_arrays(F.array(*[F.lit(k) for k in m]), F.array(*m.values()))
-        return F.when(is_text(F.col(field)) & (F.size(known) > 0), F.array_max(F.filter(known, lambda x: lens[x["measure"]] == x["len"])))
+    @F.pandas_udf(_FEATURES)
+    def look(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for t, u, s in batches:
+            yield pd.DataFrame([inspect(a, b, c, known) for a, b, c in zip(t, u, s)])
 
-    at = seen.join(per, "_src", "left").withColumns({"text_at": strongest(FIELDS[0], "_lt"), "url_at": strongest(FIELDS[1], "_lu")}).drop("_lt", "_lu")
-    shortened = F.col("text_known") & F.coalesce(F.col("text_at.n") >= F.col("url_at.n"), F.lit(False))
-    asks = F.col("url_at").isNotNull() & ~F.col("url_whole") & ~shortened
-    at = at.withColumns({"_url": F.when(asks, F.xxhash64(FIELDS[1])), "_len": F.col("url_at.len"), **{f"_has_{f}": is_text(F.col(f)) for f in FIELDS}}).drop(*FIELDS)
-    at = staged(at, "limits")
-    sound = at.where("_url is not null").groupBy("_src", "_len").agg(F.count_distinct("_url").alias("_n")).where(F.col("_n") >= SPIKE_ROWS)
-    return at.join(sound, ["_src", "_len"], "left").withColumn("own", F.col("_url").isNotNull() & F.col("_n").isNotNull()).drop("_url", "_len", "_n")
+    base = df.select(F.col(row_id).alias("_id"), source_key(F.col(source)).alias("_src"), *[F.col(f) for f in FIELDS])
+    lens = [F.when(is_text(F.col(f)), F.array(*measures(F.col(f)).values())).alias(f"_n_{f}") for f in FIELDS]
+    ids = [F.xxhash64(f).alias(f"_h_{f}") for f in FIELDS]
+    return staged(base.withColumn("_f", look(FIELDS[0], FIELDS[1], "_src")).select("_id", "_src", "_f.*", *lens, *ids), "looked")
 
 
-def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link_no") -> DataFrame:
-    """(row_id, source, field_name, limit) of each value that lost its end.
+def _by_length(seen: DataFrame) -> DataFrame:
+    opened = {FIELDS[0]: F.col("text_open"), FIELDS[1]: ~F.col("url_whole")}
+    parts = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"_h_{f}").alias("value_id"), opened[f].alias("open"), F.col(f"_n_{f}").alias("lens")) for f in FIELDS])
+    return seen.select(F.col("_src").alias("source"), F.explode(parts).alias("x")).select("source", "x.*").where("lens is not null")
+
 
-    A value is a case if (a) its last escape or character is damaged, the other field
-    of the row holds its continuation, or it ends inside the site's own name; or (b)
-    its ending is open and the corpus goes on after its last three words but hardly
-    ever closes there, or knows its last word only as the start of longer ones; or (c)
-    its length is an exposed limit of its source and nothing shows that it is whole.
-    An address whose prompt is shortened like the stored text is whole, unless its own
-    length is such a limit: then the text was taken from the cut address and is a case
-    with it. See ``_address_limits`` for what such a limit must show. Null, empty and
-    blank values are never cases; ``limit`` is true for lengths at a limit.
+def exposed_limits(df: DataFrame, source: str, keys: list[str] = PROMPT_KEYS) -> DataFrame:
+    """(field_name, source, measure, limit_len, n_values, expected) of each exposed limit, see ``spikes``.
+
+    Blank and null values are left out; a null source is a source of its own, named ''.
+    Repeated values count once, values whose end shows that they are whole not at all.
     """
-    base = df.select(F.col(row_id).alias("_id"), source_key(F.col(source)).alias("_src"), *[F.col(f) for f in FIELDS])
+    return spikes(length_histogram(_by_length(_looked(df.withColumn("__lp_row", F.lit(0)), source, "__lp_row", keys))))
+
+
+def _at_limits(seen: DataFrame, hist: DataFrame) -> DataFrame:
+    """``seen`` with ``text_at``, ``url_at`` (n, len, i: the strongest limit of its source that the value has, or null) and ``text_common``, ``url_common``."""
+    limits = staged(spikes(hist), "limits")
+    lists = [F.collect_list(F.when(F.col("field_name") == f, F.struct(F.col("n_values").alias("n"), F.col("limit_len").alias("len"), F.array_position(F.array(*[F.lit(m) for m in MEASURES]), F.col("measure")).cast("int").alias("i")))) for f in FIELDS]
+    per = limits.where("source is not null").groupBy(F.col("source").alias("_src")).agg(lists[0].alias("_l0"), lists[1].alias("_l1"))
+    common = limits.where("source is null").agg(lists[0].alias("_c0"), lists[1].alias("_c1"))  # one row; lengths that many sources share
+    tops = hist.groupBy(F.col("source").alias("_src")).agg(*[F.array(*[F.max(F.when((F.col("field_name") == f) & F.col(f"m{i}"), F.col("len"))) for i in range(len(MEASURES))]).alias(f"_t{j}") for j, f in enumerate(FIELDS)])
+    at = seen.join(tops, "_src", "left").join(per, "_src", "left").crossJoin(F.broadcast(common))
+
+    def strongest(lens: Column, known: str) -> Column:
+        return F.array_max(F.filter(known, lambda x: F.element_at(lens, x["i"]) == x["len"]))
+
+    def is_common(lens: Column, top: Column, known: str) -> Column:
+        return F.coalesce(F.exists(known, lambda x: (F.element_at(lens, x["i"]) == x["len"]) & (F.element_at(top, x["i"]) == x["len"])), F.lit(False))
+
+    new = {}
+    for j, (f, name) in enumerate(zip(FIELDS, ("text", "url"))):
+        lens = F.col(f"_n_{f}")
+        new |= {f"{name}_at": strongest(lens, f"_l{j}"), f"{name}_common": is_common(lens, F.col(f"_t{j}"), f"_c{j}"), f"has_{name}": lens.isNotNull()}
+    return at.withColumns(new).drop(*[f"_{k}{j}" for k in "lct" for j in (0, 1)], *[f"_{k}_{f}" for k in "nh" for f in FIELDS])
 
-    @F.pandas_udf(_FEATURES)
-    def look(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for t, u, s in batches:
-            yield pd.DataFrame([inspect(a, b, c) for a, b, c in zip(t, u, s)])
 
+def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link_no", keys: list[str] = PROMPT_KEYS) -> DataFrame:
+    """(row_id, source, field_name, limit) of each value that lost its end.
+
+    A value is a case if (a) its length is an exposed limit of its source, nothing shows
+    that it is whole and most values there break off in the middle; or (b) its last escape or character is damaged, the other
+    field of the row holds its continuation, or it ends inside the site's own name; or
+    (c) its ending is open and the corpus goes on after its last three words but hardly
+    ever closes there, or knows its last word only as the start of longer ones; or (d)
+    it is the longest of its source at a limit that many sources share, or stands at
+    another limit of its source, its end is open and the corpus does not tell. A text that ends with a stop is whole at a limit if
+    the address carries it. An address with the prompt of a text at a limit that holds
+    as many values is whole: there the text was shortened first. A text equal to the
+    prompt of an address at its own limit was taken from it and is a case with it.
+    Null, empty and blank values are never cases. ``limit`` is true for values at a
+    limit, ``keys`` are the query keys that carry a prompt.
+    """
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             total: dict[tuple[str, str, str], list[int]] = {}
@@ -261,37 +335,31 @@ def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link
             yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=["key", "ctx", "word", "closed", "open_end", "goes_on"])
 
     bare = F.regexp_replace(F.col(FIELDS[0]), r"\s*(?:\.\.\.|\x{2026}|\x{fffd})+\s*$", "")
-    distinct = base.where(is_text(F.col(FIELDS[0]))).groupBy(bare.alias("t")).agg(F.min("_src").alias("_src"))
+    distinct = df.where(is_text(F.col(FIELDS[0]))).groupBy(bare.alias("t")).agg(F.min(source_key(F.col(source))).alias("_src"))
     stats = (
         distinct.mapInPandas(spread, "key string, ctx string, word string, closed long, open_end long, goes_on long")
         .groupBy("key", "ctx", "word")
         .agg(F.sum("closed").alias("closed"), F.sum("open_end").alias("open_end"), F.sum("goes_on").alias("goes_on"))
     )
     stats = staged(stats, "endings")
-    seen = staged(base.withColumn("_f", look(FIELDS[0], FIELDS[1], "_src")).select("*", "_f.*").drop("_f"), "looked")
-
-    seen = _address_limits(seen, exposed_limits(df, source))
-
-    # One long table of open endings, so each statistic is joined once.
-    both = F.array(
-        F.struct(F.lit(FIELDS[0]).alias("field_name"), F.col("text_cut").alias("cut"), F.col("text_open").alias("open"), F.col("text_known").alias("known"), (F.col("own") & F.col("url_same") & F.col("text_open")).alias("own"), F.col("text_at").isNotNull().alias("limit"), F.col("tk").alias("lk"), F.col("ts").alias("sk"), F.col("tc").alias("ctx"), F.col("tw").alias("word"), F.col(f"_has_{FIELDS[0]}").alias("has")),
-        F.struct(F.lit(FIELDS[1]).alias("field_name"), F.col("url_cut").alias("cut"), F.col("url_open").alias("open"), (~F.col("url_open")).alias("known"), F.col("own"), F.col("url_at").isNotNull().alias("limit"), F.col("uk").alias("lk"), F.col("us").alias("sk"), F.col("uc").alias("ctx"), F.col("uw").alias("word"), F.col(f"_has_{FIELDS[1]}").alias("has")),
-    )
-    at = seen.select("_id", "_src", F.explode(both).alias("x")).select("_id", "_src", "x.*").where("has").drop("has")
+    seen = _looked(df, source, row_id, keys)
+    at = _at_limits(seen, staged(length_histogram(_by_length(seen)), "lengths"))
+    shortened = F.col("text_known") & F.coalesce(F.col("text_at.n") >= F.col("url_at.n"), F.lit(False))
+    url_limit = F.col("url_at").isNotNull() & ~F.col("url_whole") & ~shortened
+    text_limit = F.col("text_at").isNotNull() & (F.col("text_open") | ~F.col("text_known"))
+    taken = url_limit & F.col("url_same") & F.col("text_open")
+
+    # One long table of values, so each statistic is joined once.
+    columns = {
+        FIELDS[0]: {"cut": F.col("text_cut"), "at": F.when(text_limit, F.concat(F.lit("t"), F.col("text_at.len").cast("string"))).when(taken, F.concat(F.lit("u"), F.col("url_at.len").cast("string"))), "open": F.col("text_open"), "common": F.col("text_common"), "limit": F.col("text_at").isNotNull() | F.col("text_common"), "lk": F.col("tk"), "sk": F.col("ts"), "ctx": F.col("tc"), "word": F.col("tw"), "has": F.col("has_text")},
+        FIELDS[1]: {"cut": F.col("url_cut"), "at": F.when(url_limit, F.concat(F.lit("u"), F.col("url_at.len").cast("string"))), "open": F.col("url_open"), "common": F.col("url_common"), "limit": F.col("url_at").isNotNull() | F.col("url_common"), "lk": F.col("uk"), "sk": F.col("us"), "ctx": F.col("uc"), "word": F.col("uw"), "has": F.col("has_url")},
+    }
+    both = F.array(*[F.struct(F.lit(f).alias("field_name"), *[c.alias(k) for k, c in cs.items()]) for f, cs in columns.items()])
+    at = staged(at.select("_id", "_src", F.explode(both).alias("x")).select("_id", "_src", "x.*").where("has").drop("has"), "values")
 
-    asked = at.where("(open or own) and not cut and lk is not null").select("_id", "_src", "field_name", "lk", "sk", "ctx", "word")
+    asked = at.where("(open or at is not null) and not cut and lk is not null").select("_id", "_src", "field_name", "lk", "sk", "ctx", "word")
     keyed = _closed(stats, _closed(stats, asked, "lk", "lit"), "sk", "shp")
-    # Each distinct ending once: a hot ending would otherwise meet all followers of its context in every row.
-    stems = asked.where("word <> ''").select("ctx", "word", "_src").distinct()
-    longer = (
-        stems.join(stats.where("ctx <> ''").select("ctx", F.col("word").alias("other"), (F.col("closed") + F.col("goes_on")).alias("n")), "ctx")
-        .where(
-            F.when(F.col("other") == "<D>", F.col("_src").startswith(F.lower("word")) & (F.length("_src") > F.length("word")))
-            .otherwise(F.col("other").startswith(F.col("word")) & (F.length("other") > F.length("word")))
-        )
-        .groupBy("ctx", "word", "_src")
-        .agg(F.sum("n").alias("n_longer"))
-    )
+    longer = longer_words(asked.where("word <> ''").select("ctx", "word", "_src").distinct(), stats)
     lit_n = F.coalesce(F.col("lit.closed") + F.col("lit.goes_on"), F.lit(0))
     best = F.when(lit_n >= 3, F.col("lit")).otherwise(F.coalesce(F.col("shp"), F.col("lit")))
     said = keyed.withColumn("b", best).join(longer, ["ctx", "word", "_src"], "left")
@@ -302,15 +370,19 @@ def cut_values(df: DataFrame, source: str = "source_domain", row_id: str = "link
         .otherwise(F.lit("unknown"))
     )
     judged = said.select("_id", "field_name", verdict.alias("verdict"))
-    final = at.join(judged, ["_id", "field_name"], "left")
-    undecided = F.coalesce(F.col("verdict"), F.lit("unknown")) == "unknown"
-    case = F.col("cut") | (F.col("verdict") == "cut") | (undecided & (F.col("limit") & ~F.col("known") | F.col("own")))
+    final = staged(at.join(judged, ["_id", "field_name"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("unknown"))), "judged")
+    # A limit stands if most of what it holds breaks off in the middle; values of one length by chance end where texts end.
+    whole = (F.col("verdict") == "whole") & ~F.col("cut")
+    stands = final.where("at is not null").groupBy("_src", "at").agg(F.count(F.lit(1)).alias("n"), F.count_if(whole).alias("w")).where("2 * w < n").select("_src", "at", F.lit(True).alias("stands"))
+    final = final.join(stands, ["_src", "at"], "left")
+    near = (F.col("at").isNotNull() | (F.col("common") & F.col("open"))) & (F.col("verdict") == "unknown")
+    case = F.col("stands") | F.col("cut") | (F.col("verdict") == "cut") | near
     return final.where(F.coalesce(case, F.lit(False))).select(F.col("_id").alias(row_id), F.col("_src").alias("source"), "field_name", "limit")
 
 
-def truncation_rates(df: DataFrame, source: str = "source_domain", row_id: str = "link_no") -> DataFrame:
+def truncation_rates(df: DataFrame, source: str = "source_domain", row_id: str = "link_no", keys: list[str] = PROMPT_KEYS) -> DataFrame:
     """Per source and field: values, cut values and their share; '' stands for a null source."""
-    cut = cut_values(df, source, row_id).groupBy("source", "field_name").agg(F.count(F.lit(1)).alias("n_cut"))
+    cut = cut_values(df, source, row_id, keys).groupBy("source", "field_name").agg(F.count(F.lit(1)).alias("n_cut"))
     pairs = F.array(*[F.struct(F.lit(f).alias("field_name"), is_text(F.col(f)).alias("has")) for f in FIELDS])
     values = (
         df.select(source_key(F.col(source)).alias("source"), F.explode(pairs).alias("x"))

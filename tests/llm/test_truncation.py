@@ -66,7 +66,7 @@ def test_whole_corpus_has_no_case(cases):
 
 def test_limits_and_rates(spark):
     rnd = random.Random(1)
-    rows = [(i, " Big.Example", None, "é" * 30 + "w" * rnd.randint(1, 400), None, None) for i in range(200)]
+    rows = [(i, " Big.Example", None, "é" * 30 + "".join(rnd.choices("bcdfgklm", k=rnd.randint(1, 400))), None, None) for i in range(200)]
     rows = [(i, s, u, t.encode()[:200].decode() if len(t.encode()) > 200 else t, None, None) for i, s, u, t, _, _ in rows]
     df = spark.createDataFrame(rows, SCHEMA)
     got = T.exposed_limits(df, "source_domain").where("field_name = 'primary_prompt_text'").collect()
@@ -86,7 +86,8 @@ def test_measures(spark):
 
     assert got["code_points"] == len(t) and got["utf8_bytes"] == len(t.encode()) and got["utf16_units"] == len(t.encode("utf-16-le")) // 2
     assert got["json_escaped"] == len(json.dumps(t)) - 2 and got["json_utf8_bytes"] == len(json.dumps(t, ensure_ascii=False).encode()) - 2
-    assert got["html_escaped"] == len(html.escape(t)) + 1 and got["crlf"] == len(t.replace("\n", "\r\n"))  # the quote sign is written &#39;.. there
+    assert got["html_escaped"] == len(html.escape(t)) and got["html_escaped_bytes"] == len(html.escape(t).encode())
+    assert got["crlf"] == len(t.replace("\n", "\r\n")) and got["crlf_bytes"] == len(t.encode().replace(b"\n", b"\r\n"))
 
 
 def _at_length(n, length, tail="", stop=False):
@@ -119,3 +120,35 @@ def test_limit_of_the_address_shows_in_the_text_taken_from_it(spark):
     assert {c for c in got if c[0] < 200} == {(100 + i, f) for i in range(9) for f in T.FIELDS}
     assert {c[0] for c in got if c[1] == "target_url" and c[0] >= 200} == {200 + i for i in range(9)}
     assert not [c for c in got if c[0] >= 300 and c[1] == "target_url"]
+
+
+def test_few_values_expose_a_limit_and_the_ends_confirm_it(spark):
+    """A few open addresses of one length are a limit if they break off in the middle, none if both end where texts end."""
+    whole = [t for t in (r[3].rstrip(".") for r in corpus()) if t]
+    rows = corpus() + [(1 + i, "few.example", u, T.prompt_of(u)[0], None, None) for i, u in enumerate(_at_length(4, 256))]
+    same = next((a, b) for a in whole for b in whole if a != b and len(url(a)) == len(url(b)))
+    rows += [(11 + i, "chance.example", url(t), t, None, None) for i, t in enumerate(same)]
+    got = found(spark, rows)
+    assert {(i, "target_url") for i in range(1, 5)} <= got and not [c for c in got if c[0] in (11, 12)]
+
+
+def test_sources_together_expose_a_limit(spark):
+    rnd = random.Random(4)
+    rows = [(i, f"one{i}.example", None, "".join(rnd.choices("bcdfgklm ", k=rnd.randint(60, 140))), None, None) for i in range(300)]
+    rows += [(1000 + i, f"two{i}.example", None, "".join(rnd.choices("bcdfgklm", k=100)), None, None) for i in range(40)]
+    limits = T.exposed_limits(spark.createDataFrame(rows, SCHEMA), "source_domain").where("source is null and field_name = 'primary_prompt_text'")
+    assert {r["limit_len"] for r in limits.collect()} == {100}
+
+
+def test_longer_words_against_pairs(spark):
+    rnd = random.Random(2)
+    words = sorted({"".join(rnd.choices("ab", k=rnd.randint(1, 5))) for _ in range(40)})
+    stats = [(c, w, rnd.randint(0, 3), rnd.randint(0, 3)) for c in ("x", "y", "") for w in [*words, "<D>"]]
+    stems = [(c, w, "abba.test") for c in ("x", "y", "z") for w in ("a", "ab", "ba", "bbbbb", "abba")]
+    got = T.longer_words(spark.createDataFrame(stems, "ctx string, word string, _src string"), spark.createDataFrame(stats, "ctx string, word string, closed long, goes_on long"))
+    want = {}
+    for c, w, s in stems:
+        n = sum(a + g for k, o, a, g in stats if k == c and (s.startswith(w) and len(s) > len(w) if o == "<D>" else o.startswith(w) and o != w))
+        if n:
+            want[(c, w)] = n
+    assert {(r["ctx"], r["word"]): r["n_longer"] for r in got.collect()} == want
