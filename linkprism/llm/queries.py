@@ -74,6 +74,14 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.groupBy(src.alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.sum(same).alias("n_same"))
 
 
+def p8_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document by a deep tree of small leaves and by the usual one; whether their ids agree, per source."""
+    docs = table(spark, sf, "documents").select(mixing.source_name(F.col("source")).alias("source"), "text")
+    deep = tokenize.encoded(docs, "text", leaf=64).withColumnRenamed("ids", "deep")
+    both = tokenize.encoded(deep, "text")
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.size("ids") > 0).alias("n_with_ids"), F.count_if(F.col("ids") == F.col("deep")).alias("n_equal"))
+
+
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixture(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
 
@@ -111,6 +119,7 @@ QUERIES = {
     "p6_records": p6_records,
     "p8_ids": p8_ids,
     "p8_round_trip": p8_round_trip,
+    "p8_tree": p8_tree,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
     "p10_found": p10_found,

@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAF_CHARS = 4096
+_SHIPPED: set[tuple[str, str]] = set()
 #: Characters the splitting pattern may look past a piece: a contraction's letters or the character after white space.
 LOOK = 4
 #: The splitting pattern of byte-level BPE vocabularies of this kind (fixed value).
@@ -137,16 +139,29 @@ class Tokenizer:
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str = VOCABULARY, leaf: int = LEAF_CHARS) -> Tokenizer:
-    """One per Python worker; the vocabulary file lies on every machine."""
+    """One per Python worker."""
     return Tokenizer(path, leaf)
 
 
+def _shipped(df: DataFrame, path: str) -> Callable[[], str]:
+    """Send the vocabulary file to the executors, once per application; gives the path there."""
+    spark = df.sparkSession
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SHIPPED:
+        _SHIPPED.add(key)
+        spark.sparkContext.addFile(path)
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return lambda: SparkFiles.get(name)
+
+
 def encoded(df: DataFrame, text: str, path: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
     """``df`` with ``ids``; null and empty texts get an empty list, other columns stay."""
 
+    here = _shipped(df, path)
+
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer(path, leaf)
+        t = tokenizer(here(), leaf)
         for s in batches:
             yield pd.Series([t.encode(x) for x in s], dtype=object)
 
@@ -156,9 +171,11 @@ def encoded(df: DataFrame, text: str, path: str = VOCABULARY, leaf: int = LEAF_C
 def decoded(df: DataFrame, ids: str, path: str = VOCABULARY) -> DataFrame:
     """``df`` with ``decoded_text``; an empty list or null gives the empty text."""
 
+    here = _shipped(df, path)
+
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer(path)
+        t = tokenizer(here())
         for s in batches:
             yield pd.Series([t.decode(list(x)) if x is not None else "" for x in s], dtype=object)
 
@@ -168,9 +185,11 @@ def decoded(df: DataFrame, ids: str, path: str = VOCABULARY) -> DataFrame:
 def counted(df: DataFrame, text: str, path: str = VOCABULARY, leaf: int = LEAF_CHARS) -> DataFrame:
     """``df`` with ``n_tokens``; 0 for null and empty texts."""
 
+    here = _shipped(df, path)
+
     @F.pandas_udf("long")
     def n(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        t = tokenizer(path, leaf)
+        t = tokenizer(here(), leaf)
         for s in batches:
             yield pd.Series([t.count(x) for x in s], dtype="int64")
 

@@ -70,10 +70,11 @@ def _rarely(n: Column, expected: Column, tests: Column) -> Column:
 
 
 def length_histogram(values: DataFrame) -> DataFrame:
-    """(field_name, source, len, n0..n8, m0..m8) from (field_name, source, value_id, open, lens): different open values by length and measure.
+    """(field_name, source, len, some, n0..n8, m0..m8) from (field_name, source, value_id, open, lens): different open values by length and measure.
 
-    ``m`` tells that the length is the source's largest in the measure. A value whose
-    measures agree is one row; counts merge on the map side.
+    ``some`` tells that a value, open or not, has so many code points, ``m`` that the
+    length is the source's largest in the measure. A value whose measures agree is one
+    row; counts merge on the map side.
     """
     distinct = values.groupBy("field_name", "source", "value_id").agg(F.max("open").alias("open"), F.first("lens").alias("lens"))
     k = range(len(MEASURES))
@@ -82,7 +83,7 @@ def length_histogram(values: DataFrame) -> DataFrame:
         *[F.count_if(F.col("open") & (F.col("lens")[i] == F.col("len"))).alias(f"n{i}") for i in k], *[F.max((F.col("lens")[i] == F.col("len"))).alias(f"a{i}") for i in k]
     )
     whole = Window.partitionBy("field_name", "source")
-    return counts.select("field_name", "source", "len", *[f"n{i}" for i in k], *[(F.col(f"a{i}") & (F.col("len") == F.max(F.when(F.col(f"a{i}"), F.col("len"))).over(whole))).alias(f"m{i}") for i in k])
+    return counts.select("field_name", "source", "len", F.col("a0").alias("some"), *[f"n{i}" for i in k], *[(F.col(f"a{i}") & (F.col("len") == F.max(F.when(F.col(f"a{i}"), F.col("len"))).over(whole))).alias(f"m{i}") for i in k])
 
 
 def spikes(hist: DataFrame) -> DataFrame:
@@ -93,7 +94,7 @@ def spikes(hist: DataFrame) -> DataFrame:
     lengths around, for a source at least what the spread of all lengths lets expect.
     """
     k = range(len(MEASURES))
-    filled = hist.select("field_name", "len", *[(F.col(f"m{i}") & (F.col(f"n{i}") > 0)).cast("int").alias(f"n{i}") for i in k], (F.col("n0") > 0).cast("int").alias("any"))
+    filled = hist.select("field_name", "len", *[(F.col(f"m{i}") & (F.col(f"n{i}") > 0)).cast("int").alias(f"n{i}") for i in k], F.col("some").cast("int").alias("any"))
     pooled = filled.groupBy("field_name", "len").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in k], F.sum("any").alias("any"))
     # The chance that two values of different sources have one length; a source's own spike counts once.
     spread = pooled.groupBy("field_name").agg((F.sum(F.col("any") * F.col("any")) / F.pow(F.sum("any"), F.lit(2.0))).alias("_together"))
