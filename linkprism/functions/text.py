@@ -21,8 +21,13 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(c, F.lit("\x00"), F.lit(" ")), _SPACE, " "))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x{85}\x{1c}-\x{1f}]+|[\s\p{Z}\x{85}\x{1c}-\x{1f}]+$", "")
+
+
 def text_or_empty(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), F.lit(""))
+    return F.coalesce(strip(c), F.lit(""))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

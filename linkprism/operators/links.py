@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from linkprism.functions import urls
 from linkprism.functions.binding import let
-from linkprism.functions.text import squeeze, unescape_all
-
-_EDGE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+from linkprism.functions.text import squeeze, strip, unescape_all
 
 
 def _first_filled(*cs: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.regexp_replace(c, _EDGE, ""), F.lit("")) for c in cs], F.lit(""))
+    return F.coalesce(*[F.nullif(strip(c), F.lit("")) for c in cs], F.lit(""))
 
 
 def link_target(link: Column) -> Column:
     """First of url, path, href that is an absolute web address after trimming, else ''."""
-    tries = [F.regexp_replace(link[k], _EDGE, "") for k in ("url", "path", "href")]
+    tries = [strip(link[k]) for k in ("url", "path", "href")]
     return F.coalesce(*[F.when(t.rlike("^https?://"), t) for t in tries], F.lit(""))
 
 
@@ -78,3 +76,13 @@ def prompt_links(pages: DataFrame, crawl: str, wat_file: str = "") -> DataFrame:
     links = exploded_links(pages, ["source_url"]).where(F.col("target_url") != "")
     found = collected_parameters(links.where(may_have_prompt(F.col("target_url"))), "target_url").where(F.size("prompt_parameters") > 0)
     return found.select(F.lit(crawl).alias("crawl"), F.lit(wat_file).alias("wat_file"), "source_url", "target_url", "anchor_text", "link_path", "prompt_parameters")
+
+
+def page_totals(pages: DataFrame) -> DataFrame:
+    """One row: pages, pages with links, links, links with an address, bytes of the addresses."""
+    found = F.transform(F.filter("links", lambda x: x.isNotNull()), lambda x: F.octet_length(link_target(x)))
+    each = pages.select(F.size(F.coalesce("links", F.array())).alias("n"), F.coalesce(found, F.array().cast("array<int>")).alias("b"))
+    return each.agg(
+        F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("n") > 0).alias("n_pages_with_links"), F.coalesce(F.sum(F.size("b").cast("long")), F.lit(0)).alias("n_links"),
+        F.coalesce(F.sum(F.size(F.filter("b", lambda x: x > 0)).cast("long")), F.lit(0)).alias("n_addresses"), F.coalesce(F.sum(F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n_address_bytes"),
+    )

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from linkprism.functions import urls
 from linkprism.functions.text import counts_json, text_or_empty, top_items
 
-SOURCE_COLUMNS = "crawl source_domain root_domain tranco_rank tranco_matched_domain tranco_bucket tranco_match_type rows share_of_risky_rows high_rows medium_rows unique_target_platforms target_platforms top_platform platform_features platform_distribution_json".split()
-REVIEW_COLUMNS = "crawl source_domain root_domain tranco_rank rows share_of_risky_rows high_rows medium_rows unique_target_platforms target_platforms platform_features".split()
-TARGET_COLUMNS = "crawl target_platform rows share_of_risky_rows high_rows medium_rows unique_target_domains".split()
+# Columns of the tables, in order.
+SOURCE_COLUMNS = [
+    "crawl", "source_domain", "root_domain", "tranco_rank", "tranco_matched_domain", "tranco_bucket", "tranco_match_type", "rows", "share_of_risky_rows", "high_rows", "medium_rows",
+    "unique_target_platforms", "target_platforms", "top_platform", "platform_features", "platform_distribution_json",
+]
+REVIEW_COLUMNS = ["crawl", "source_domain", "root_domain", "tranco_rank", "rows", "share_of_risky_rows", "high_rows", "medium_rows", "unique_target_platforms", "target_platforms", "platform_features"]
+TARGET_COLUMNS = ["crawl", "target_platform", "rows", "share_of_risky_rows", "high_rows", "medium_rows", "unique_target_domains"]
+# Popularity classes, most popular first.
+BUCKETS = ["top_1k", "1k_10k", "10k_100k", "100k_1m", "unranked"]
 
 
 def row_severity(df: DataFrame) -> Column:
@@ -58,6 +64,11 @@ def bucket(rank: Column) -> Column:
     )
 
 
+def bucket_order(df: DataFrame, bucket: str) -> DataFrame:
+    """``df`` by popularity class."""
+    return df.orderBy(F.array_position(F.array(*[F.lit(b) for b in BUCKETS]), F.col(bucket)))
+
+
 def ranked(df: DataFrame, domain: str, ranking: DataFrame) -> DataFrame:
     """``df`` with tranco_rank, tranco_matched_domain, tranco_bucket, tranco_match_type of ``domain``.
 
@@ -110,7 +121,7 @@ def source_domain_risk(rows: DataFrame, ranking: DataFrame | None = None, by_cra
             "top_platform": F.col("_r")[0]["name"],
             "platform_features": top_items(names),
             "platform_distribution_json": counts_json(names),
-            "root_domain": urls.root_domain(F.col("source_domain")),
+            "root_domain": urls.root_domain(urls.host(F.col("source_domain"))),
         }
     )
     if ranking is not None:
@@ -145,8 +156,10 @@ def target_order(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("rows"), F.asc("target_platform"))
 
 
-def overview(rows: DataFrame, sources: bool) -> DataFrame:
-    """Per crawl: rows, risky rows, their share, severities and, for sources, distinct risky sites."""
+def overview(rows: DataFrame, sources: bool, crawls: list[str] | None = None) -> DataFrame:
+    """Per crawl: rows, risky rows, their share, severities and, for sources, distinct risky sites; a crawl of ``crawls`` without rows has zeros."""
+    if crawls:
+        return _with_missing(overview(rows, sources), crawls)
     risky = F.col("severity").isin("medium", "high")
     if sources:
         risky = risky & (F.col("source_domain") != "")
@@ -159,6 +172,12 @@ def overview(rows: DataFrame, sources: bool) -> DataFrame:
     return out.join(sites, "crawl", "left").select("crawl", "rows_seen", "risky_rows", share, F.coalesce("_u", F.lit(0)).alias("unique_risky_source_domains"), "high_rows", "medium_rows")
 
 
+def _with_missing(per_crawl: DataFrame, crawls: list[str]) -> DataFrame:
+    names = per_crawl.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(crawls)], "crawl string")
+    both = names.join(per_crawl, "crawl", "full")
+    return both.select("crawl", *[F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in per_crawl.dtypes if c != "crawl"])
+
+
 def detected_crawl(rows: DataFrame) -> DataFrame:
     """The first non-empty crawl name by ``ord``."""
     return rows.where("crawl <> ''").agg(F.min_by("crawl", "ord").alias("crawl"))
@@ -181,3 +200,12 @@ def stage_counts(df: DataFrame) -> DataFrame:
         F.count_if(F.col("target_platform").isNotNull() & F.col("has_ioc_keywords")).alias("rows_with_ioc_keywords"),
         F.count_if(F.col("classification_is_uncertain")).alias("rows_uncertain"),
     )
+
+
+def stage_distributions(df: DataFrame) -> DataFrame:
+    """(kind, name, n_rows) of matched rows: platforms, severities, labels, session and noise reasons, in one pass."""
+    one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+    parts = F.array(one("platform", "target_platform"), one("severity", "severity"), one("session", "session_entry_reason"), one("noise", "structural_noise_reason"))
+    labels = F.transform("prompt_labels", lambda x: F.struct(F.lit("label").alias("kind"), x.alias("name")))
+    each = df.where("target_platform is not null").select(F.explode(F.concat(parts, labels)).alias("e"))
+    return each.where("e.name <> ''").groupBy("e.kind", "e.name").agg(F.count(F.lit(1)).alias("n_rows"))

@@ -11,6 +11,7 @@ from linkprism.functions import urls
 from linkprism.functions.binding import let
 from linkprism.functions.text import decode_to_fixpoint, keywords_in, squeeze, unescape_all
 
+# Query keys that carry a prompt, by kind of platform.
 _M = ("q", "prompt", "query", "message", "text")
 _B = ("q", "prompt", "query", "text")
 PROMPT_KEYS = _M
@@ -67,11 +68,11 @@ NOISE = (
 )
 
 # Hosts whose root page opens a session.
-ROOT_SESSION_HOSTS = (
-    "chatgpt.com chat.openai.com claude.ai copilot.microsoft.com m365copilot.com copilot.cloud.microsoft perplexity.ai "
-    "gemini.google.com grok.com poe.com chat.deepseek.com doubao.com www.doubao.com meta.ai www.meta.ai kimi.com www.kimi.com "
-    "chat.mistral.ai chat.minimax.io agent.minimax.io chat.qwen.ai yiyan.baidu.com yuanbao.tencent.com chat.z.ai you.com"
-).split()
+ROOT_SESSION_HOSTS = [
+    "chatgpt.com", "chat.openai.com", "claude.ai", "copilot.microsoft.com", "m365copilot.com", "copilot.cloud.microsoft", "perplexity.ai", "gemini.google.com", "grok.com", "poe.com",
+    "chat.deepseek.com", "doubao.com", "www.doubao.com", "meta.ai", "www.meta.ai", "kimi.com", "www.kimi.com", "chat.mistral.ai", "chat.minimax.io", "agent.minimax.io", "chat.qwen.ai",
+    "yiyan.baidu.com", "yuanbao.tencent.com", "chat.z.ai", "you.com",
+]
 
 # Fixed values: (code, exact hosts, path pattern), in order.
 SESSIONS = (
@@ -86,7 +87,7 @@ SESSIONS = (
     ("gemini_app", ("gemini.google.com",), "^/app$|^/u/.*/app$"),
     ("gemini_gem_page", ("gemini.google.com",), "^/gem/"),
     ("grok_imagine_page", ("grok.com",), "^/imagine(/|$)"),
-    ("poe_bot_page", ("poe.com",), "^/?[^/]|^//|^/login."),
+    ("poe_bot_page", ("poe.com",), "^(?!/(login)?$)"),
     ("deepseek_chat_page", ("chat.deepseek.com",), "^/a/chat/"),
     ("deepseek_share_page", ("chat.deepseek.com",), "^/share/"),
     ("doubao_chat_page", ("doubao.com", "www.doubao.com"), "^/chat"),
@@ -112,6 +113,7 @@ LABEL_TERMS = {
     "SUMMARIZE": ["summarize", "summary", "tl;dr", "explain"],
 }
 LABELS = list(LABEL_TERMS)
+# Fixed value: labels that make persistence severe.
 _NEED_PERSIST = ("AUTHORITY", "RECOMMEND", "CITE")
 
 
@@ -244,8 +246,7 @@ def session_code(h: Column, p: Column, noise: Column, platform: Column, params:
     out = out.when((h == "x.com") & p.startswith("/i/grok") & (platform == "grok"), F.lit("x_grok_session"))
     out = out.when(h.isin(*ROOT_SESSION_HOSTS) & (p == "/"), F.lit("platform_root_session"))
     for code, hosts, pattern in SESSIONS:
-        hit = (p != "/") & (p != "/login") if code == "poe_bot_page" else p.rlike(pattern)
-        out = out.when(h.isin(*hosts) & hit, F.lit(code))
+        out = out.when(h.isin(*hosts) & p.rlike(pattern), F.lit(code))
     return out
 
 
