@@ -1,4 +1,4 @@
-"""Label texts with a pluggable model: batches through an iterator UDF, the model loaded once per worker."""
+"""Label texts with a pluggable model: batches through an iterator UDF, the model loaded once per Python worker."""
 
 from __future__ import annotations
 
@@ -14,6 +14,16 @@ from linkprism.operators.rules import LABELS, classified
 #: Below a label's threshold but at least this likely counts as uncertain (fixed value).
 UNCERTAIN = 0.15
 Scorer = Callable[[Sequence[str]], Sequence[dict[str, float]]]
+#: Batch size, most tokens of a text and device of a model (fixed values: defaults).
+BATCH, MAX_TOKENS, DEVICE = 8, 256, "cpu"
+_LOADED: dict[tuple, Scorer] = {}
+
+
+def loaded(load: Callable[[int, str], Scorer], key: tuple) -> Scorer:
+    """The scorer of this process: tasks of one worker share it."""
+    if key not in _LOADED:
+        _LOADED[key] = load(*key[1:])
+    return _LOADED[key]
 
 
 def thresholds(path: str | None) -> dict[str, float]:
@@ -25,12 +35,16 @@ def thresholds(path: str | None) -> dict[str, float]:
     return {k: float(got.get(k, 0.5)) for k in LABELS}
 
 
-def model_classified(df: DataFrame, text: str, load: Callable[[], Scorer], limits: dict[str, float], name: str, batch: int = 8) -> DataFrame:
-    """``df`` with classification columns from the probabilities of ``load()``; blank and null texts get zeros and no label."""
+def model_classified(df: DataFrame, text: str, load: Callable[[int, str], Scorer], limits: dict[str, float], name: str, batch: int = BATCH, max_tokens: int = MAX_TOKENS, device: str = DEVICE) -> DataFrame:
+    """``df`` with classification columns from the probabilities of ``load(max_tokens, device)``, the model called ``name``.
+
+    The scorer cuts texts at ``max_tokens`` of its own tokens. Blank and null texts get
+    zeros and no label.
+    """
 
     @F.pandas_udf("map<string,double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = load()
+        scorer = loaded(load, (name, max_tokens, device))
         for s in batches:
             out = [dict.fromkeys(LABELS, 0.0) for _ in s]
             at = [i for i, t in enumerate(s) if t and t.strip()]

@@ -58,7 +58,7 @@ def run(spark: SparkSession, pages_path: str, run_root: str, crawl: str | None =
     Without a name the crawl is called after the input file.
     """
     began = time.time()
-    sinks.guard(run_root, overwrite=overwrite)
+    sinks.guard(spark, run_root, overwrite=overwrite)
     pages = files.pages(spark, pages_path)
     collected = staged(links.prompt_links(pages, crawl or "", os.path.basename(pages_path)), "collected")
     sinks.json_lines(collected, f"{run_root}/00_collect/prompt_links")
@@ -75,13 +75,13 @@ def run(spark: SparkSession, pages_path: str, run_root: str, crawl: str | None =
     sinks.csv(risk.target_order(targets), f"{run_root}/03_target/tables/target_platform_risk", risk.TARGET_COLUMNS)
     for kind in ("source", "target"):
         got = risk.overview(rows, kind == "source").collect()  # one row per crawl
-        sinks.json_file({"crawl": crawl, "generated_at_epoch": int(time.time()), **(got[0].asDict() if got else {"rows_seen": 0})}, f"{run_root}/03_{kind}/summary.json")
-        sinks.json_file(sinks.manifest(f"{kind}_risk", crawl, pages_path, f"{run_root}/03_{kind}"), f"{run_root}/03_{kind}/manifest.json")
+        sinks.json_file(spark, {"crawl": crawl, "generated_at_epoch": int(time.time()), **(got[0].asDict() if got else {"rows_seen": 0})}, f"{run_root}/03_{kind}/summary.json")
+        sinks.json_file(spark, sinks.manifest(spark, f"{kind}_risk", crawl, pages_path, f"{run_root}/03_{kind}"), f"{run_root}/03_{kind}/manifest.json")
     counts = risk.stage_counts(enriched).first().asDict()
     took = spark.range(1).select(rate_text(F.lit(counts["rows_seen"]), F.lit(time.time() - began)).alias("r")).first()["r"]
     spread = [r.asDict() for r in risk.stage_distributions(enriched).orderBy("kind", F.desc("n_rows"), "name").collect()]  # as many as there are codes
     summary = counts | links.page_totals(pages).first().asDict() | {"rate": took}
-    sinks.json_file(summary | {"distributions": spread}, f"{run_root}/summary.json")
+    sinks.json_file(spark, summary | {"distributions": spread}, f"{run_root}/summary.json")
     return summary
 
 

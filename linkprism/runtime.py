@@ -54,6 +54,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filesystem(spark: SparkSession, path: str):
+    """(Hadoop file system, path object) of any path: local, hdfs, object store."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = filesystem(spark, path)
+    return fs.exists(at)
+
+
+def listing(spark: SparkSession, path: str, pattern: str | None = None) -> list[str]:
+    """Names in a folder, sorted, those that match the pattern; none if there is no such folder."""
+    fs, at = filesystem(spark, path)
+    found = fs.globStatus(filesystem(spark, f"{path.rstrip('/')}/{pattern or '*'}")[1]) if fs.exists(at) else None
+    return sorted(x.getPath().getName() for x in found or ())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, at = filesystem(spark, path)
+    out = fs.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    return "\n".join(r[0] for r in spark.read.option("wholetext", True).text(path).collect())
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's checkpoint folder.
 
@@ -96,8 +129,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 def _remove(spark: SparkSession, root: str) -> None:
     try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
+        fs, path = filesystem(spark, root)
+        fs.delete(path, True)
     except Exception:  # the session may be gone already; the folder is then left to its owner
         pass

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkprism.runtime import filesystem, listing, write_text
 
-def guard(path: str, allow_existing: bool = False, overwrite: bool = False) -> None:
-    """Refuse a non-empty folder unless told otherwise; ``overwrite`` removes it."""
-    if overwrite and os.path.isdir(path):
-        shutil.rmtree(path)
-    if os.path.isdir(path) and os.listdir(path) and not allow_existing:
+
+def guard(spark: SparkSession, path: str, allow_existing: bool = False, overwrite: bool = False) -> None:
+    """Refuse a non-empty folder, on whatever file system, unless told otherwise; ``overwrite`` removes it."""
+    if overwrite:
+        fs, at = filesystem(spark, path)
+        fs.delete(at, True)
+    if listing(spark, path) and not allow_existing:
         raise FileExistsError(f"{path} is not empty")
 
 
@@ -30,20 +31,19 @@ def lines(df: DataFrame, path: str, value: str = "value", mode: str = "errorifex
 
 
 def csv(df: DataFrame, path: str, columns: list[str], mode: str = "errorifexists") -> None:
-    """Header, fixed column order, minimal quoting with doubled quotes, CRLF; null is an empty value."""
+    """Header, fixed column order, minimal quoting with doubled quotes, CRLF; null is an empty value, a column beside ``columns`` an error."""
+    if extra := set(df.columns) - set(columns):
+        raise ValueError(f"columns not in the table: {sorted(extra)}")
     out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns])
     out.write.mode(mode).csv(path, header=True, escape='"', emptyValue="", lineSep="\r\n")
 
 
-def json_file(obj: dict, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(json.dumps(obj, indent=2, ensure_ascii=False) + "\n")
+def json_file(spark: SparkSession, obj: dict, path: str) -> None:
+    write_text(spark, path, json.dumps(obj, indent=2, ensure_ascii=False) + "\n")
 
 
-def manifest(script: str, crawl: str, source: str, output_dir: str, folders: tuple[str, ...] = ("tables", "review")) -> dict:
+def manifest(spark: SparkSession, script: str, crawl: str, source: str, output_dir: str, folders: tuple[str, ...] = ("tables", "review")) -> dict:
     out = {"script": script, "version": 1, "crawl": crawl, "input": source, "output_dir": output_dir}
     for f in folders:
-        d = os.path.join(output_dir, f)
-        out[f] = sorted(os.path.join(d, x) for x in os.listdir(d)) if os.path.isdir(d) else []
-    return out | {"summary_json": os.path.join(output_dir, "summary.json")}
+        out[f] = [f"{output_dir}/{f}/{x}" for x in listing(spark, f"{output_dir}/{f}")]
+    return out | {"summary_json": f"{output_dir}/summary.json"}

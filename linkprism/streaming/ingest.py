@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from linkprism.functions.text import strip
 from linkprism.operators.links import exploded_links, prompt_links
 from linkprism.operators.rules import SIGNATURES, matched, prefilter
-from linkprism.sources.files import PAGE, is_object
+from linkprism.sources.files import PAGE, is_object, page_rows
 
 
 def page_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
-    """Pages of JSON lines; ``files_per_trigger`` bounds a micro-batch."""
-    lines = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    rows = lines.where(is_object(F.col("value"))).select(F.from_json("value", PAGE).alias("r")).select("r.*")
-    return rows.select(F.coalesce("source_url", "url").alias("source_url"), "links").where("source_url is not null and links is not null")
+    """Pages of JSON lines, as in a batch; ``files_per_trigger`` bounds a micro-batch.
+
+    Lines that hold no object are skipped and counted: the progress of the query has
+    ``lines`` with n_lines and n_errors.
+    """
+    lines = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files_per_trigger).text(folder).where(strip(F.col("value")) != "")
+    ok = is_object(F.col("value"))
+    counted = lines.observe("lines", F.count(F.lit(1)).alias("n_lines"), F.count_if(~ok).alias("n_errors"))
+    return page_rows(counted.where(ok).select(F.from_json("value", PAGE).alias("r")).select("r.*"))
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, crawl: str, files_per_trigger: int = 64) -> StreamingQuery:

@@ -10,6 +10,7 @@ from linkprism.plans import pipeline
 from linkprism.sources import files, sinks, wat
 from linkprism.streaming.ingest import ingest
 
+# Fixed golden values: pages of the survey's demonstration and the rows that follow from them.
 PAGES = [
     {"source_url": "https://source.example/tutorial", "links": [{"url": "https://chatgpt.com/?q=Summarize%20this%20tutorial", "text": "Summarize"}, {"url": "https://example.org/no-prompt", "text": "ordinary"}]},
     {"url": "https://reviews.example/product", "links": [{"href": "https://www.perplexity.ai/search?q=Recommend%20the%20best%20trusted%20option", "anchor": "Ask"}]},
@@ -45,7 +46,7 @@ def test_run_over_files(spark, pages_file, tmp_path):
     assert '"{""claude"": 1}"' in sites[1] and sites[2].startswith("DEMO,reviews.example")
     targets = csv_lines(f"{out}/03_target/tables/target_platform_risk")[1:]
     assert targets == ["DEMO,claude,1,0.5,1,0,1", "DEMO,perplexity,1,0.5,0,1,1"]
-    summary = files.json_object(f"{out}/03_source/summary.json")
+    summary = files.json_object(spark, f"{out}/03_source/summary.json")
     assert (summary["rows_seen"], summary["risky_rows"], summary["risky_share_of_all_rows"]) == (3, 2, 0.666667)
     with pytest.raises(FileExistsError):
         pipeline.run(spark, pages_file, out, "DEMO")
@@ -73,10 +74,10 @@ def test_gzip_lines_and_path_list(spark, tmp_path):
     p = tmp_path / "list.gz"
     with gzip.open(p, "wt") as f:
         f.write(" a \n\nb\n")
-    assert files.local_paths(str(p)) == ["a", "b"] and files.local_paths(str(p), 1) == ["a"]
+    assert files.local_paths(spark, str(p)) == ["a", "b"] and files.local_paths(spark, str(p), 1) == ["a"]
     assert sorted(r[0] for r in files.path_list(spark, str(p)).collect()) == ["a", "b"]
-    assert files.resolve("http://x/y", ".") == "http://x/y" and files.resolve("list.gz", str(tmp_path)).startswith("file://")
-    assert files.resolve("nowhere/x", str(tmp_path), "https://r") == "https://r/nowhere/x"
+    assert files.resolve(spark, "http://x/y", ".") == "http://x/y" and files.resolve(spark, "list.gz", str(tmp_path)).startswith("file://")
+    assert files.resolve(spark, "nowhere/x", str(tmp_path), "https://r") == "https://r/nowhere/x"
 
 
 def test_ranking_lookup(spark, tmp_path):
@@ -144,25 +145,87 @@ def test_streaming_ingest_resumes(spark, tmp_path):
         assert spark.read.parquet(out).count() == [2, 3][n]
 
 
-def test_model_labels(spark):
-    def load():
+def test_model_labels(spark, tmp_path):
+    def load(max_tokens, device):
+        assert (max_tokens, device) == (256, "cpu")
+        path = str(tmp_path / "loads")
+        with open(path, "a") as f:
+            f.write("x\n")
         return lambda texts: [{"PERSIST": 0.7 if "always" in t else 0.2, "CITE": 0.6} for t in texts]
 
     df = spark.createDataFrame([("always",), ("x",), (" ",), (None,)], "t string")
-    got = semantic.model_classified(df, "t", load, semantic.thresholds(None), "fake", batch=1).collect()
+    got = semantic.model_classified(df.repartition(4), "t", load, semantic.thresholds(None), "fake", batch=1).orderBy(F.desc_nulls_last("t")).collect()
+    got = [next(r for r in got if r["t"] == t) for t in ("always", "x", " ", None)]
     assert [r["classification"] for r in got] == ["PERSIST;CITE", "CITE", "", ""]
     assert [r["classification_is_uncertain"] for r in got] == [False, True, False, False] and got[0]["severity"] == "high"
 
 
+def test_model_is_loaded_once_per_process():
+    semantic._LOADED.clear()
+    loads = []
+    for _ in range(3):
+        semantic.loaded(lambda m, d: loads.append((m, d)) or len, ("name", 9, "cuda"))
+    assert loads == [(9, "cuda")]
+
+
+def test_batch_and_stream_agree_on_blank_addresses(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    link = {"url": "https://claude.ai/?q=x"}
+    rows = [{"source_url": "\u00a0 ", "url": "\thttps://u.test/ ", "links": [link]}, {"source_url": " https://s.test/ ", "links": [link]}, {"url": " ", "links": [link]}, {"url": "https://n.test/"}]
+    (folder / "a.jsonl").write_text("\n".join(json.dumps(x) for x in rows) + "\n")
+    batch = {r["source_url"] for r in files.pages(spark, str(folder)).collect()}
+    ingest(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "ck"), "DEMO").awaitTermination()
+    assert batch == {"https://u.test/", "https://s.test/"} == {r["source_url"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def test_crawl_names_and_missing_crawls(spark):
+    rows = risk.risk_rows(spark.createDataFrame([("", "https://a.test/", "high", 1), ("B", "https://a.test/", "low", 2), ("A", "https://a.test/", "low", 3)], "crawl string, target_url string, severity string, o long"), F.col("o"))
+    assert pipeline.crawl_name("given", rows, "/x/y.jsonl") == "given" and pipeline.crawl_name(None, rows, "/x/y.jsonl") == "B"
+    assert pipeline.crawl_name(None, rows.limit(0), "/x/run.jsonl.gz") == "run"
+    got = {r["crawl"]: r["rows_seen"] for r in pipeline.all_crawls(rows.where("crawl <> ''"), ["A", "Z"])["target_overview_by_crawl"].collect()}
+    assert got == {"A": 1, "B": 1, "Z": 0}
+    assert [c for c, _ in pipeline.run_specs([])] == pipeline.DEFAULT_RUNS
+    order = risk.bucket_order(spark.createDataFrame([(b,) for b in ("unranked", "1k_10k", "top_1k")], "b string"), "b")
+    assert [r["b"] for r in order.collect()] == ["top_1k", "1k_10k", "unranked"]
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    df = spark.createDataFrame([("\u00a0\thttps://claude.ai/?q=a\u2003\n", "\u3000S.Test ")], "target_url string, source_domain string").withColumn("source_url", F.lit(None).cast("string"))
+    r = pipeline.enrich(df).first()
+    assert (r["target_url"], r["target_platform"], r["source_domain"]) == ("https://claude.ai/?q=a", "claude", "s.test")
+
+
+def test_ranking_in_a_zip(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "r.zip", "w") as z:
+        z.writestr("top.csv", "1,a.test\r\n2,B.test\r\n")
+    assert {tuple(r) for r in files.ranking(spark, str(tmp_path / "r.zip")).collect()} == {("a.test", 1), ("b.test", 2)}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from linkprism import runtime
+
+    none = N(get=lambda *_: None)
+    sc = N(getConf=lambda: none, master="spark://host:7077", _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(N(conf=none, sparkContext=sc))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 'q"x', None)], "x string, y string, z int")
     sinks.csv(df, str(tmp_path / "c"), ["y", "x", "z"])
     assert csv_lines(str(tmp_path / "c")) == ["y,x,z", '"q""x","a,b",']
     back = files.csv_rows(spark, str(tmp_path / "c"), ["y", "x", "z"]).first()
     assert (back["y"], back["x"]) == ('q"x', "a,b")
+    with pytest.raises(ValueError, match="not in the table"):
+        sinks.csv(df, str(tmp_path / "d"), ["x"])
     sinks.json_lines(df, str(tmp_path / "j"), compression="gzip")
     assert spark.read.text(str(tmp_path / "j")).first()[0] == '{"x":"a,b","y":"q\\"x","z":null}'
     (tmp_path / "r.yaml").write_text("# c\nruns_base: /x/y\n other: 1\n")
-    assert files.runs_base(str(tmp_path / "r.yaml")) == "/x/y"
+    assert files.runs_base(spark, str(tmp_path / "r.yaml")) == "/x/y"
     with pytest.raises(FileNotFoundError):
-        files.classified_input(str(tmp_path))
+        files.classified_input(spark, str(tmp_path))
