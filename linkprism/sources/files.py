@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import os
@@ -13,7 +14,10 @@ from pyspark.sql import types as T
 
 from linkprism.functions.text import strip
 from linkprism.runtime import exists, listing, read_text
+from linkprism.sources.wat import opened
 
+# Fixed value: where crawls are published.
+REMOTE_ROOT = "https://data.commoncrawl.org"
 LINK = "struct<url:string,path:string,href:string,text:string,anchor:string,alt:string>"
 PAGE = f"source_url string, url string, links array<{LINK}>"
 #: Superset of the fields of prompt links and classified links; absent fields are null.
@@ -36,7 +40,16 @@ def local_paths(spark: SparkSession, path: str, limit: int = 0) -> list[str]:
     return lines[:limit] if limit > 0 else lines
 
 
-def resolve(spark: SparkSession, item: str, base_dir: str, remote_root: str = "https://data.commoncrawl.org") -> str:
+def remote_paths(crawl: str, url: str | None = None, limit: int = 0, remote_root: str = REMOTE_ROOT) -> list[str]:
+    """The lines of a crawl's published list of metadata files: one line per input file, fetched by the driver."""
+    with opened(url or f"{remote_root}/crawl-data/{crawl}/wat.paths.gz") as f:
+        data = f.read()
+    text = (gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data).decode("utf-8", "replace")
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
+    return lines[:limit] if limit > 0 else lines
+
+
+def resolve(spark: SparkSession, item: str, base_dir: str, remote_root: str = REMOTE_ROOT) -> str:
     """A URL stays; a path that exists beside the list is taken from there; anything else goes under the remote root."""
     if "://" in item:
         return item

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import gzip
+import http.client
 import io
 import json
+import urllib.request
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "wat_file string, source_url string, links array<struct<url:string,path:string,href:string,text:string,anchor:string,alt:string>>, error string"
+#: Seconds that a server may be silent.
+TIMEOUT = 60
 _FIELDS = ("url", "path", "href", "text", "anchor", "alt")
 
 
@@ -42,6 +47,16 @@ def _links(body: bytes) -> list[tuple] | None:
     return [tuple(text(x.get(k)) for k in _FIELDS) for x in found if isinstance(x, dict)] if isinstance(found, list) else []
 
 
+def opened(path: str) -> io.BufferedIOBase:
+    """A stream of a local file, an address on the web or a file of another file system; it is read as it arrives."""
+    if path.startswith(("http://", "https://")):
+        return io.BufferedReader(urllib.request.urlopen(path, timeout=TIMEOUT))
+    if "://" in path and not path.startswith("file://"):
+        fs, name = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        return io.BufferedReader(fs.open_input_file(name))
+    return open(path.removeprefix("file://"), "rb")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -55,9 +70,8 @@ class _Reader(DataSourceReader):
         return [_File(p) for p in self.paths]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        path = partition.path.removeprefix("file://")
         try:
-            with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
+            with opened(partition.path) as raw, gzip.GzipFile(fileobj=raw) if partition.path.endswith(".gz") else raw as f:
                 for headers, body in _records(f):
                     url = headers.get("warc-target-uri", "")
                     if headers.get("warc-type") != "metadata" or not url:
@@ -65,7 +79,7 @@ class _Reader(DataSourceReader):
                     links = _links(body)
                     if links is not None:
                         yield partition.path, url, links, None
-        except (OSError, EOFError, ValueError) as e:  # a truncated or unreadable file is reported, not hidden
+        except (OSError, EOFError, ValueError, http.client.HTTPException) as e:  # a truncated or unreadable file is reported, not hidden
             yield partition.path, None, None, f"{type(e).__name__}: {e}"
 
 

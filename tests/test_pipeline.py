@@ -136,6 +136,24 @@ def test_wat_source(spark, tmp_path):
     assert len([r for r in got if r["error"]]) == 2
 
 
+def test_wat_and_path_list_over_http(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "a.wat.gz").write_bytes(gzip.compress(warc("https://p.test/", envelope([{"url": "https://claude.ai/?q=x"}]))))
+    (tmp_path / "wat.paths.gz").write_bytes(gzip.compress(b"a.wat.gz\n\nmissing.wat.gz\n"))
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path))
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    names = files.remote_paths("X", f"{root}/wat.paths.gz")
+    got = wat.read_wat(spark, [files.resolve(spark, n, "/nowhere", root) for n in names]).collect()
+    server.shutdown()
+    assert names == ["a.wat.gz", "missing.wat.gz"] and files.remote_paths("X", str(tmp_path / "wat.paths.gz"), 1) == ["a.wat.gz"]
+    assert [r["source_url"] for r in got if r["error"] is None] == ["https://p.test/"] and sum(r["error"] is not None for r in got) == 1
+
+
 def test_streaming_ingest_resumes(spark, tmp_path):
     folder, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     folder.mkdir()
