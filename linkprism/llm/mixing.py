@@ -47,7 +47,7 @@ def source_name(c) -> object:
 
 
 def _features(text: str) -> np.ndarray:
-    return np.fromiter({hash_word(w) for w in _WORD.findall(text.lower())}, dtype=np.int64)
+    return np.array([hash_word(w) for w in set(_WORD.findall(text.lower()))], dtype=np.int64)
 
 
 @lru_cache(maxsize=1 << 18)
