@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +81,31 @@ def test_many_judgements_outweigh_the_seeds():
     logs = [{"0": 30, "=": 9, "warn": 2}] * 100
     m = R.fit(judged, wrong + logs, [99.0] * 300 + [None] * 100, [{"plain": 1.0, "standard": 9.0, "demanding": 18.0}[k] for k, _ in judged], [True] * 300 + [False] * 100)
     assert m.judge(["the cat cat cat"])[0][0] == "plain"
+
+
+def test_all_judgements_and_all_documents_count(spark):
+    """More of both than the samples once held, and a text of more words than bins: the same as a fit over everything in memory."""
+    rnd = random.Random(5)
+    docs = [(i, text(rnd, rnd.choice(R.LEVELS), 2) + f" term{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} {'x' * (i % 41)}", "en") for i in range(4600)]
+    docs += [(5000 + i, LOG, "de") for i in range(60)] + [(6000 + i, " ".join(f"{chr(97 + n % 26)}{chr(97 + n // 26 % 26)}{'q' * (n // 676)}" for n in range(33_500)), "de") for i in range(2)]
+    docs += [(7, "Procedural xylographers predominate.", "en"), (None, "We like it.", "en"), (7000, None, "en"), (7001, " ", "en")]
+    labels = [(i, f"r{n}", R.LEVELS[(i + (n % (i + 2) == 0)) % 3]) for i in range(24) for n in range(900)] + [(6000, "r", "plain"), (7001, "r", "plain"), (8, "r", "other"), (None, "r", "plain")]
+    of: dict[int, list[str]] = {}
+    for i, _, level in labels:
+        if level in R.LEVELS and i is not None:
+            of.setdefault(i, []).append(level)
+    seen = [(i, t, Counter(R.tokens(t)), R.grade(t), lang) for i, t, lang in docs if t and t.strip()]
+    mine, others = [x for x in seen if x[0] in of], [x for x in seen if x[0] not in of]
+    hints = [lang == "en" and 4 * c["0"] < sum(c.values()) for *_, c, _, lang in others]
+    m = R.fit([(level, c) for i, _, c, _, _ in mine for level in of[i]], [x[2] for x in others], [x[3] for x in others], [g for i, _, _, g, _ in mine for _ in of[i]], hints)
+    want = sorted(((-1 if i is None else i, *j) for (i, _, _), j in zip(docs, m.judge([t for _, t, _ in docs]))), key=lambda r: (r[0], r[4]))
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    found = R.levels(table, spark.createDataFrame(labels, "doc_id long, rater string, reading_level string")).collect()
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], *r[1:]) for r in found), key=lambda r: (r[0], r[4]))
+    assert [(r[0], r[1], r[4]) for r in got] == [(r[0], r[1], r[4]) for r in want]
+    assert all(abs((a[2] or 0) - (b[2] or 0)) < 2e-4 and abs(a[3] - b[3]) < 2e-4 for a, b in zip(got, want))
+
+
+def test_median_grades(spark):
+    rows = spark.createDataFrame([(1.0, 1, 0, 0), (2.0, 1, 0, 0), (5.0, 2, 1, 0), (9.0, 0, 2, 0), (None, 3, 3, 3)], "grade double, j0 int, j1 int, j2 int").withColumn("taken", F.lit(True))
+    assert [str(x) for x in R.median_grades(rows)] == ["3.5", "9.0", "nan"]
